@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "sig")
     posted = reps.select("doc_id", F.posexplode("sig").alias("k", "v"))
     lists = posted.groupBy("k", "v").agg(F.count("*").alias("m")).where("m > 1")
-    shared = posted.join(lists, ["k", "v"])
+    shared = posted.join(lists.hint("merge"), ["k", "v"])
     mine = Window.partitionBy("doc_id")
     # Of a document's postings, those that occur once come first in the order and are skipped.
     order = F.row_number().over(mine.orderBy("m", "k", "v"))
@@ -188,11 +188,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
             for lo, hi in chunks(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingler.sets(texts[lo:hi])], pa.binary())], names=["doc_id", "s"])
 
-    sets = rows.join(nodes, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, s binary")
+    # The nodes grow with the corpus: the plan must not depend on whether they still fit a broadcast.
+    sets = rows.join(nodes.hint("merge"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, s binary")
     dealt = members.join(blocks, F.col("head") == F.col("h")).drop("h")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("head", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id").join(sets, "doc_id")
+    dealt = dealt.select("head", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id").join(sets.hint("merge"), "doc_id")
 
     def linked(df: pd.DataFrame) -> pd.DataFrame:
         ids, block, a, b = df["doc_id"].to_numpy(), df["block"].to_numpy(), df["a"].iloc[0], df["b"].iloc[0]
