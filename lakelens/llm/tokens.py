@@ -20,7 +20,7 @@ from .common import share_code
 
 BATCH_BYTES = 4 << 20
 JOINED = 32 << 10
-MEMORY = 400_000
+MEMORY = 600_000
 
 _LOADED: dict = {}
 
@@ -47,6 +47,7 @@ class Encoder:
         for piece, i in self.t.get_vocab().items():
             self.starts[i] = piece.startswith("Ġ")  # the byte-level alphabet's space
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -87,12 +88,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, split = self.known, [x.split(" ") for x in texts]
-        fresh = {w for x in split for w in x[1:] if w not in known}
-        odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
-        self._learn(sorted(fresh - odd))
+        if len(self.known) > MEMORY:  # pieces not met since the last time are forgotten
+            self.known, self.older = {}, self.known
+        known, older, split = self.known, self.older, [x.split(" ") for x in texts]
+        fresh = set().union(*[x[1:] for x in split if len(x) > 1]) - known.keys()
+        met = fresh & older.keys()
+        known.update(zip(met, map(older.__getitem__, met), strict=True))
+        self._learn([w for w in fresh - met if w and not w[0].isspace() and not w[-1].isspace()])
         out: list[bytes] = [b""] * len(texts)
         plain, rest = [], []
         for i, x in enumerate(split):
