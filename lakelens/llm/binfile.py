@@ -39,15 +39,6 @@ def _bits(v: np.ndarray) -> np.ndarray:
     return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
 
 
-_TABLE: list = []
-
-
-def _lengths(v: np.ndarray) -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(_bits(np.arange(1 << 17)))
-    return _TABLE[0][v] if not len(v) or v.max() < 1 << 17 else _bits(v)
-
-
 def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, ...]:
     """starts, minima, widths, exceptions_from, words, places, values of unsigned 32-bit ids."""
     n = -(-len(ids) // BLOCK)
@@ -57,10 +48,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, .
         full[-1, len(ids) % BLOCK :] = full[-1, 0]
     minima = full.min(axis=1) if n else np.zeros(0, np.uint32)
     full -= minima[:, None]
-    bits = _lengths(full.ravel()).reshape(n, BLOCK)
     k = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    widths = np.partition(bits, k, axis=1)[:, k] if n else np.zeros(0, np.uint8)
-    out = bits > widths[:, None]
+    widths = _bits(np.partition(full, k, axis=1)[:, k]) if n else np.zeros(0, np.uint8)
+    out = full > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     at, places = np.nonzero(out)
     values = full[out]
     full[out] = 0
