@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+ROWS_A_BATCH = 1000
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
@@ -34,7 +36,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def share_code(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package when only the driver's path has it."""
+    """Lets Python workers on this host import the package when only the driver's path has it.
+
+    Arrow batches are held to ROWS_A_BATCH rows, as rows here are whole texts.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
@@ -42,6 +50,21 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the system; idle workers stay alive for a while."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def crc32_of_id(doc_id) -> F.Column:
     """crc32 of the id as text; the id -1 stands for a missing one."""
     return F.crc32(F.coalesce(doc_id, F.lit(-1)).cast("string").cast("binary"))

@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, scratch, share_code, stored
+from .common import crc32_of_id, release, scratch, share_code, stored
 
-BLOCK_BYTES = 32 << 20
-ROWS = 1 << 17
+BLOCK_BYTES = 8 << 20
+ROWS = 1 << 15
 _BLOCKS = "block long, ids binary, missing binary, held binary, lengths binary, words binary, vocabulary binary, train_tokens long"
 
 
@@ -80,6 +80,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, held, lengths, words = fresh()
     if ids:
         yield row()
+    del ids, held, lengths, words, place
+    release()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of blocks, one in memory at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
+        del b
+    release()
 
 
 def _opened(row: dict) -> tuple:
@@ -118,11 +129,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     total = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                _, _, words, vocabulary, train = _opened(r)
-                n = np.bincount(words[train], minlength=len(vocabulary)).astype(np.int32)
-                yield from _sent(["key", "block", "place", "n"], vocabulary, np.full(len(n), r["block"]), np.arange(len(n), dtype=np.int32), n)
+        for r in _each(batches):
+            _, _, words, vocabulary, train = _opened(r)
+            n = np.bincount(words[train], minlength=len(vocabulary)).astype(np.int32)
+            yield from _sent(["key", "block", "place", "n"], vocabulary, np.full(len(n), r["block"]), np.arange(len(n), dtype=np.int32), n)
 
     asked = blocks.mapInArrow(unigrams, "key long, block long, place int, n int")
     same = Window.partitionBy("key")
@@ -144,15 +154,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         return np.where(keys[at] == vocabulary, at, -1)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                lengths, _, words, vocabulary, train = _opened(r)
-                state = states(vocabulary)
-                u, v = state[_histories(words, lengths)], state[words]
-                both = (u >= 0) & (v >= 0)
-                pairs, inverse = np.unique(u[both] * m + v[both], return_inverse=True)
-                n = np.bincount(inverse[train[both]], minlength=len(pairs)).astype(np.int32)
-                yield from _sent(["pair", "block", "n"], pairs, np.full(len(n), r["block"]), n)
+        for r in _each(batches):
+            lengths, _, words, vocabulary, train = _opened(r)
+            state = states(vocabulary)
+            u, v = state[_histories(words, lengths)], state[words]
+            both = (u >= 0) & (v >= 0)
+            pairs, inverse = np.unique(u[both] * m + v[both], return_inverse=True)
+            n = np.bincount(inverse[train[both]], minlength=len(pairs)).astype(np.int32)
+            yield from _sent(["pair", "block", "n"], pairs, np.full(len(n), r["block"]), n)
 
     asked = blocks.mapInArrow(bigrams, "pair long, block long, n int")
     same = Window.partitionBy("pair")
@@ -198,6 +207,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
             ]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        release()
         return pa.concat_tables(out) if out else _SCORES.empty_table()
 
     answers = found.where("shared").select("block", F.lit(0).alias("kind"), F.col("place").cast("long").alias("at"), "total")
