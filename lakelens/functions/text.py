@@ -23,9 +23,13 @@ def words(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The set of word trigrams, as an array; empty below three words."""
-    w = words(text)
-    each = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    return F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    def of(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+        return F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    # As a lambda's argument the words are split once, not once for each trigram.
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def trigram_hash(text: Column) -> Column:
@@ -46,9 +50,12 @@ def sentences(text: Column) -> Column:
 
 def pronoun_percent(text: Column) -> Column:
     """Share of sentences that start with a pronoun, rounded half to even; null without sentences."""
-    s = sentences(text)
-    hits = F.size(F.filter(s, lambda x: x.rlike(PRONOUN_START)))
-    return F.when(F.size(s) > 0, F.bround(100 * hits / F.size(s))).cast("int")
+
+    def of(s: Column) -> Column:
+        hits = F.size(F.filter(s, lambda x: x.rlike(PRONOUN_START)))
+        return F.when(F.size(s) > 0, F.bround(100 * hits / F.size(s))).cast("int")
+
+    return F.get(F.transform(F.array(sentences(text)), of), F.lit(0))
 
 
 def has_evidence(text: Column) -> Column:

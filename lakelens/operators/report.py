@@ -92,8 +92,11 @@ def warnings(found: DataFrame, sums: DataFrame, passed: DataFrame, recs: DataFra
     return off.unionByName(both.select("site", F.lit("passed_and_advised").alias("check"), F.col("check_id").alias("detail")))
 
 
-def reports(found: DataFrame, recs: DataFrame, sums: DataFrame, passed: DataFrame) -> DataFrame:
-    """One nested row a site: summary, findings, recommendations and passed checks, in order."""
+def reports(envelopes: DataFrame, found: DataFrame, recs: DataFrame, sums: DataFrame, passed: DataFrame) -> DataFrame:
+    """One nested row for every site with an envelope: summary, findings, recommendations, passed checks."""
     listed = lambda df, key, name: df.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in df.columns if c not in ("site", key)]))).alias(name))
-    out = listed(found, "finding_id", "findings").join(listed(recs, "rec_id", "recommendations"), "site", "full").join(sums, "site", "left")
-    return out.join(passed.groupBy("site").agg(F.array_sort(F.collect_list("check_id")).alias("checks_passed")), "site", "full")
+    parts = (listed(found, "finding_id", "findings"), listed(recs, "rec_id", "recommendations"), sums, passed.groupBy("site").agg(F.array_sort(F.collect_list("check_id")).alias("checks_passed")))
+    out = envelopes.select("site").distinct()
+    for part in parts:
+        out = out.join(part, "site", "left")
+    return out
