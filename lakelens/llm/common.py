@@ -29,6 +29,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df written as a Parquet table and read again: cuts lineage, and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, free_name
 
 _SHIFT = "18446744073709551616"  # 2^64
 _TOP = "9223372036854775807"  # 2^63 - 1
@@ -59,7 +59,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows without an id can't be told apart, so all of them stay.
     """
-    keep = duplicate_groups(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
+    key = free_name(docs, "_keep")
+    keep = duplicate_groups(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    best = named.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    best = named.join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi").dropDuplicates([id_col])
     return best.unionByName(docs.where(F.col(id_col).isNull()))

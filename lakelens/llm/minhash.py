@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, scratch, share_code, stored
+from .common import components, free_name, scratch, share_code, stored
 from .embeddup import forest
 from .tokens import chunks
 
@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs with one document of each component; rows without an id stay, as do empty texts."""
-    keep = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
+    key = free_name(docs, "_keep")
+    keep = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    return named.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return named.join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import WORD, scratch, stored
+from .common import WORD, free_name, scratch, stored
 
 #: Refinements of the order before rows themselves are sorted, and the bins of each.
 LEVELS, BINS = 2, 256
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         small = small.withColumnRenamed("source", "__s")
         return rows.join(F.broadcast(small) if len(table) <= 20_000 else small, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
 
-    scale = {s: (t / n if n else 0.0) for s, n, t in table}
+    scale = {s: (t / n if n and weight_col is None else 0.0) for s, n, t in table}
     if weight_col is not None:  # documents at the most copies free words for the others, until none is added
         for _ in range(40):
             small = spark.createDataFrame([(s, n, t, scale[s]) for s, n, t in table], shape)
@@ -128,8 +128,9 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
 
     Rows of a repeated id are taken alike; rows without an id stay once, as nothing tells them apart.
     """
+    key, copies, copy = (free_name(docs, x) for x in ("_id", "_copies", "_copy"))
     taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(taken, F.col(id_col).cast("long") == F.col("__id"))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    rows = docs.join(taken, F.col(id_col).cast("long") == F.col(key))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
