@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, share_code
-from .tokens import chunks, encoder
+from .common import release, scratch, share_code
+from .tokens import batches_of, encoder
 
 BLOCK = 256
 HEAD = struct.Struct("<4sIQQQ")
-SHARD_TOKENS = 2 << 20
+SHARD_TOKENS = 1 << 20
 
 
 def _bits(v: np.ndarray) -> np.ndarray:
@@ -134,29 +135,30 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, tail = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
-        ids, raw, size, seq, before = [], [], 0, 0, 0
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        ids, lengths, tokens, size, seq, before = [], [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(raw), dtype="<u4")
-            data = write_shard(ids, np.array([len(x) // 4 for x in raw], dtype=np.uint32), tokens, before)
+            data = write_shard(ids, np.concatenate(lengths), np.concatenate(tokens), before)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_tokens", "shard"]
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_tokens", "shard"]
             )
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                got = enc.encode(texts[lo:hi])
-                for key, x in zip(keys[lo:hi], got, strict=True):
-                    ids.append(key)
-                    raw.append(x + tail)
-                    size += len(x) // 4 + 1
-                    if size >= SHARD_TOKENS:
-                        yield shard()
-                        before, seq, ids, raw, size = before + size, seq + 1, [], [], 0
+            texts = pc.fill_null(b.column(1), "")
+            for lo, hi in batches_of(texts):
+                flat, n = enc.encode(texts[lo:hi])
+                tokens.append(np.insert(flat, np.cumsum(n), end_id))
+                lengths.append((n + 1).astype(np.uint32))
+                ids.extend(b.column(0)[lo:hi].to_pylist())
+                size += len(tokens[-1])
+                if size >= SHARD_TOKENS:
+                    yield shard()
+                    before, seq, ids, lengths, tokens, size = before + size, seq + 1, [], [], [], 0
         if ids:
             yield shard()
+        del ids, lengths, tokens
+        release()
 
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     out = dealt.mapInArrow(encoded, "part int, seq int, n_tokens long, shard binary")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-ROWS_A_BATCH = 1000
+ROWS_A_BATCH = 5000
 
 
 def scratch(spark: SparkSession) -> str:

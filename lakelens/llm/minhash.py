@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import components, free_name, scratch, share_code, stored
 from .embeddup import forest
-from .tokens import chunks
+from .tokens import batches_of
 
 COORDINATES, BLOCK = 48, 512
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
         shingler = Shingler(words)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in batches_of(b.column(1)):
                 sets = shingler.sets(texts[lo:hi])
                 sig = signatures(sets, coordinates)
                 offsets = pa.array(np.arange(0, len(sets) * coordinates + 1, coordinates, dtype=np.int32))
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
         shingler = Shingler(words)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in batches_of(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingler.sets(texts[lo:hi])], pa.binary())], names=["doc_id", "s"])
 
     # The nodes grow with the corpus: the plan must not depend on whether they still fit a broadcast.

@@ -15,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_code
+from .common import release, share_code
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 10 << 20
 GROUP = 1000
 #: White space beside the one space between joined pieces, or at the end.
 ODD = re.compile(r"\s\s|\s$").search
 JOINED = 32 << 10
-MEMORY = 700_000
+MEMORY = 500_000
 
 _LOADED: dict = {}
 
@@ -94,38 +95,65 @@ class Encoder:
             else:  # not seen with byte-level vocabularies; one by one is always right
                 self.known.update(zip(group, self._whole([" " + w for w in group]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+    def _fallback(self, text: str) -> bytes:
+        return self._long(text) if len(text) > JOINED else self._whole([text])[0]
+
+    def tables(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, begin, length and offsets: text i is the ids at begin[k] to begin[k] + length[k] of
+        its pieces k from offsets[i] to offsets[i + 1]. texts holds no null."""
         if not self.cuts:
-            return self._whole(texts)
+            whole = self._whole(texts.to_pylist())
+            length = np.array([len(x) // 4 for x in whole], dtype=np.int64)
+            return np.frombuffer(b"".join(whole), dtype="<u4"), np.cumsum(length) - length, length, np.arange(len(whole) + 1)
         if len(self.known) > MEMORY:  # pieces not met since the last time are forgotten
             self.known, self.older = {}, self.known
-        known, older, split = self.known, self.older, [x.split(" ") for x in texts]
-        fresh = set().union(*[x[1:] for x in split if len(x) > 1]).difference(known)
-        new = fresh.difference(older)
-        met = fresh.difference(new)
-        known.update(zip(met, map(older.__getitem__, met), strict=True))
-        self._learn(list(new))
-        out: list[bytes] = [b""] * len(texts)
-        plain, rest = [], []
-        for i, x in enumerate(split):
-            # A cut needs a visible character on either side; the first piece stands alone.
-            if len(x) > 1 and x[0] and not x[0][-1].isspace():
-                plain.append(i)
-            else:
-                rest.append(i)
-        for i, first in zip(plain, self._whole([split[i][0] for i in plain]), strict=True):
-            try:
-                out[i] = first + b"".join(map(known.__getitem__, split[i][1:]))
-            except KeyError:
-                rest.append(i)
-        short = [i for i in rest if len(texts[i]) <= JOINED]
-        for i, ids in zip(short, self._whole([texts[i] for i in short]), strict=True):
-            out[i] = ids
-        for i in rest:
-            if len(texts[i]) > JOINED:
-                out[i] = self._long(texts[i])
-        return out
+        known, older = self.known, self.older
+        split = pc.split_pattern(texts, " ")
+        offsets, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        got = list(map(known.get, words))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        met = {w: older[w] for i in gaps if (w := words[i]) in older}
+        known.update(met)
+        self._learn([w for i in gaps if (w := words[i]) not in met])
+        odd = np.zeros(len(words), dtype=bool)
+        for i in gaps:
+            if (x := known.get(words[i])) is None:
+                odd[i], x = True, b""
+            got[i] = x
+        firsts = pc.take(coded.dictionary, coded.indices.take(pa.array(offsets[:-1]))).to_pylist()
+        # A cut needs a visible character on either side; the first piece stands alone.
+        bad = odd[index]
+        bad[offsets[:-1]] = np.array([not x or x[-1].isspace() for x in firsts], dtype=bool) & (np.diff(offsets) > 1)
+        bad = np.add.reduceat(bad.astype(np.int64), offsets[:-1]) > 0 if len(firsts) else np.zeros(0, dtype=bool)
+        heads = self._whole(firsts)
+        for i in np.flatnonzero(bad | (np.diff(offsets) == 1)).tolist():
+            heads[i] = self._fallback(texts[i].as_py())
+        size = np.fromiter(map(len, [*got, *heads]), dtype=np.int64, count=len(got) + len(heads)) // 4
+        begin = np.cumsum(size) - size
+        entry = index.astype(np.int64)
+        entry[offsets[:-1]] = np.arange(len(got), len(got) + len(heads))
+        length = size[entry]
+        if bad.any():  # their first pieces hold the whole texts
+            inside = np.repeat(bad, np.diff(offsets))
+            inside[offsets[:-1]] = False
+            length[inside] = 0
+        return np.frombuffer(b"".join([*got, *heads]), dtype="<u4"), begin[entry], length, offsets
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        _, _, length, offsets = self.tables(texts)
+        return np.add.reduceat(length, offsets[:-1]) if len(texts) else length
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each."""
+        ids, begin, length, offsets = self.tables(texts)
+        if not len(texts):
+            return ids, length
+        kind = np.int32 if length.sum() < 1 << 31 and len(ids) < 1 << 31 else np.int64
+        at = np.repeat((begin - (np.cumsum(length) - length)).astype(kind), length)
+        at += np.arange(len(at), dtype=kind)
+        return ids[at], np.add.reduceat(length, offsets[:-1])
 
 
 def encoder(name: str) -> Encoder:
@@ -135,14 +163,14 @@ def encoder(name: str) -> Encoder:
     return _LOADED[name]
 
 
-def chunks(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+def batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about as many bytes each; a longer text is a range of its own."""
     lo = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > most:
             yield lo, i
             lo, size = i, 0
-        size += len(x)
+        size += n
     if lo < len(texts):
         yield lo, len(texts)
 
@@ -159,11 +187,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            n = [len(ids) // 4 for lo, hi in chunks(texts) for ids in enc.encode(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            )
+            texts = pc.fill_null(b.column(1), "")
+            n = np.concatenate([np.zeros(0, np.int64), *[enc.counts(texts[lo:hi]) for lo, hi in batches_of(texts)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakelens.llm import binfile, embeddup, exactdup, lm, minhash, mixing, packing, secrets, tokens, toxicity
@@ -77,8 +78,12 @@ def test_encoder_cuts():
     parts = ["a", "B", "é", " ", "  ", "\n", " \n", "\t", " ", "　", "'s", "'", "12", "漢字", "!", "...", ",", "<|endoftext|>", "\x00", "Ġ", "🙂", "_", "x" * 50]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["word " * 20_000, "ab  " * 20_000]
     for lo in range(0, len(texts), 300):
-        for x, got in zip(texts[lo : lo + 300], e.encode(texts[lo : lo + 300]), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == e.t.encode(x, add_special_tokens=False).ids
+        some = texts[lo : lo + 300]
+        flat, n = e.encode(pa.array(some))
+        assert np.array_equal(n, e.counts(pa.array(some)))
+        for x, got in zip(some, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == e.t.encode(x, add_special_tokens=False).ids
+    assert [len(x) for x in e.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
