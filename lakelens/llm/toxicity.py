@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, share_code
 
+STEM = 5
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def hashed_terms(text: str | None, bits: int) -> np.ndarray:
-    """Distinct hashed terms, ascending."""
+    """Distinct hashed terms, ascending: words, and the first bytes of longer ones, which compounds share."""
     words = {w.strip(STRIP) for w in set((text or "").lower().encode().split())}
     words.discard(b"")
+    words |= {b"^" + w[:STEM] for w in words if len(w) > STEM}
     return np.unique(np.fromiter((zlib.crc32(w) & ((1 << bits) - 1) for w in words), dtype=np.int32, count=len(words)))
 
 
@@ -93,7 +95,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, terms: int =
     return FactorizationMachine(bits, bias, slot, w, v)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic"):
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = 15_000, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic"):
     """Hashed terms and labels of at most about `most` labelled documents outside the held-out fold.
 
     Held out are ids whose crc32 as text is 0 mod folds. Rows with a null id or label are left out;
@@ -118,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000, bits:
     return [np.frombuffer(r["terms"], dtype=np.int32) for r in got], np.array([r["y"] > 0 for r in got], dtype=np.int8)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, bits: int = 18, **options) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, most: int = 15_000, bits: int = 18, **options) -> FactorizationMachine:
     return fit(*training_rows(docs, labels, most, bits), bits=bits, **options)
 
 
