@@ -121,7 +121,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    share_code(spark)
+    share_code(spark, 1000)
     path = scratch(spark)
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("doc_id"), (key.isNotNull() & (crc32_of_id(key) % folds == held_fold)).cast("int").alias("held"), F.col(text_col).cast("string").alias("text"))
