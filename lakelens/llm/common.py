@@ -43,14 +43,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def share_code(spark: SparkSession, rows: int = ROWS_A_BATCH) -> None:
+def share_code(spark: SparkSession, rows: int = ROWS_A_BATCH, size: int = 0) -> None:
     """Lets Python workers on this host import the package when only the driver's path has it.
 
-    Arrow batches are held to that many rows, as rows here are whole texts.
+    Arrow batches are held to that many rows, and to about that many bytes if size is given, as
+    rows here are whole texts.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, release, scratch, share_code, stored
 
 BLOCK_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 ROWS = 1 << 15
 _BLOCKS = "block long, ids binary, missing binary, held binary, lengths binary, words binary, vocabulary binary, train_tokens long"
 
@@ -121,7 +122,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    share_code(spark, 1000)
+    share_code(spark, 1000, BATCH_BYTES)
     path = scratch(spark)
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("doc_id"), (key.isNotNull() & (crc32_of_id(key) % folds == held_fold)).cast("int").alias("held"), F.col(text_col).cast("string").alias("text"))
