@@ -14,6 +14,15 @@ PRIORITY_CLASS = {
     **{f"CHK-E-{n:03d}": 3 for n in (14, 15, 16, 17, 18, 19, 20, 21, 22, 24)},
 }
 STRENGTH_RANK = {"HARD-MECHANICAL": 1, "HARD-MECHANICAL/CAUSAL": 1, "NORMATIVE": 2, "NORMATIVE/PRACTITIONER": 2, "CORRELATIONAL": 3, "THEORETICAL/CORRELATIONAL": 3, "THEORETICAL/HEURISTIC": 4, "THEORETICAL": 4}
+PRESCRIPTIVE = ("Add ", "Repair ", "Replace ", "Give every ", "Implement ", "Wrap ", "Insert ")
+MARKUP = ("<h1>", "<meta name=", 'rel="canonical"', "301 redirect", "aria-label")
+PROHIBITED = (
+    r"(?i)\bllms?\.txt\b", r"(?i)\bwill (?:be cited|get cited|appear in|rank)\b", r"(?i)\bguarantee[sd]?\b.{0,40}\b(?:citation|visibility|ranking)", r"(?i)\bhidden text\b|\bwhite text on white\b",
+    r"(?i)\bgenerate\b.{0,30}\bbulk\b|\bbulk\b.{0,30}\bcontent\b", r"(?i)\babove the fold\b", r"(?i)\breading[- ]grade\b|\bflesch\b", r"(?i)\blighthouse\b.{0,20}\b100\b|\bscore of 100\b",
+    r"(?i)\bremove all (?:popups?|modals?)\b", r"(?i)\baccessible sites convert better\b", r"(?i)\b1 ?s(?:econd)? delay\b.{0,30}\b7%|\b100 ?ms\b.{0,30}\b1%",
+    r"(?i)\b3[- ]second\b.{0,20}\bbounce\b", r"(?i)\b9\.2 ?mm\b",
+)
+CONTRADICTED = {"identity_jsonld": ("CHK-D-006", "CHK-D-007"), "canonical_consistency": ("CHK-D-008",), "retrieval_crawler_access": ("CHK-D-001",)}
 CAPPED = ("CHK-E-014", "CHK-E-022")
 # ------------------------------------------------------------------------------------------------
 
@@ -100,3 +109,43 @@ def reports(envelopes: DataFrame, found: DataFrame, recs: DataFrame, sums: DataF
     for part in parts:
         out = out.join(part, "site", "left")
     return out
+
+
+def is_prescriptive(words: Column) -> Column:
+    """Whether a text gives orders or markup, by literal markers in either case."""
+    low = F.lower(F.coalesce(words, F.lit("")))
+    return F.exists(F.array(*[F.lit(m.lower()) for m in (*PRESCRIPTIVE, *MARKUP)]), lambda m: low.contains(m))
+
+
+def is_prohibited(words: Column) -> Column:
+    """Whether a text promises outcomes or cites figures that a report must not."""
+    w = F.coalesce(words, F.lit(""))
+    hit = F.lit(False)
+    for pattern in PROHIBITED:
+        hit = hit | w.rlike(pattern)
+    return hit
+
+
+def gate_wording(recs: DataFrame, summary_col: str = "summary") -> tuple[DataFrame, DataFrame]:
+    """recs whose summary isn't empty and gives no orders, and warnings (site, check, detail) for the others."""
+    words = F.col(summary_col)
+    empty = F.trim(F.coalesce(words, F.lit(""))) == ""
+    why = F.when(is_prescriptive(words), "prescriptive_wording").when(empty, "empty_summary")
+    some = recs.withColumn("check", why)
+    dropped = some.where("check is not null").select("site", "check", F.col("rec_id").alias("detail"))
+    advised = recs.where(is_prohibited(words)).select("site", F.lit("prohibited_wording").alias("check"), F.col("rec_id").alias("detail"))
+    return some.where("check is null").drop("check"), dropped.unionByName(advised)
+
+
+def drop_contradicted(recs: DataFrame, strengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """recs that no strength (site, detector) of their site contradicts, and a warning for each of the others."""
+    spoken = F.create_map(*[x for k, v in CONTRADICTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    against = strengths.where(F.col("detector").isin(*CONTRADICTED)).select("site", F.explode(F.try_element_at(spoken, F.col("detector"))).alias("check_id")).distinct()
+    gone = recs.join(against, ["site", "check_id"], "left_semi")
+    return recs.join(against, ["site", "check_id"], "left_anti"), gone.select("site", F.lit("contradicted_by_strength").alias("check"), F.col("rec_id").alias("detail"))
+
+
+def uncovered(rows: DataFrame, rolled: DataFrame) -> DataFrame:
+    """Single rows (site, check_id, defect_key, url) that no site-wide row (with instances, an array of URLs) covers."""
+    covered = rolled.select("site", "check_id", "defect_key", F.explode("instances").alias("url")).distinct()
+    return rows.join(covered, ["site", "check_id", "defect_key", "url"], "left_anti")

@@ -62,10 +62,16 @@ def static_sample_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def virtual_inventory(inventory: DataFrame, pages: DataFrame, most: int = 500) -> DataFrame:
-    """inventory rows, then internal links of pages, one for each host and path, at most `most` links a site."""
-    key = F.concat(urls.host(F.col("url")), F.regexp_replace(urls.path(F.col("url")), "/+$", ""))
-    links = pages.select("site", "ord", F.posexplode("links").alias("k", "l")).where("l.internal").select("site", F.col("l.href").alias("url"), F.lit(1).alias("rank"), (F.col("ord").cast("long") * 100_000 + F.col("k")).alias("o"))
-    both = inventory.select("site", "url", F.lit(0).alias("rank"), F.col("ord").cast("long").alias("o")).unionByName(links).withColumn("key", key)
-    one = both.withColumn("r", F.row_number().over(Window.partitionBy("site", "key").orderBy("rank", "o"))).where("r = 1")
-    one = one.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("rank", "o")))
-    return one.where((F.col("rank") == 0) | (F.col("r") <= most)).select("site", "url", "r")
+    """Rows of an inventory (site, ord, url, page_type), then internal web links of pages, one for each host and path.
+
+    Links come while a site has fewer than `most` rows; the inventory's own rows all stay. A row without a type gets one by its URL.
+    """
+    bare = F.regexp_replace(urls.path(F.col("url")), "/+$", "")
+    links = pages.select("site", "ord", F.posexplode("links").alias("k", "l")).where("l.internal").select("site", F.col("l.href").alias("url"), F.lit(None).cast("string").alias("page_type"), F.lit(1).alias("rank"), "ord", "k")
+    links = links.where(urls.scheme(F.col("url")).isin("http", "https"))
+    own = inventory.select("site", "url", "page_type", F.lit(0).alias("rank"), "ord", F.lit(0).alias("k"))
+    both = own.unionByName(links).withColumn("key", F.concat(urls.host(F.col("url")), bare))
+    order = ("rank", "ord", "k", "url")
+    one = both.withColumn("r", F.row_number().over(Window.partitionBy("site", "key").orderBy(*order))).where("r = 1")
+    one = one.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy(*order)))
+    return one.where((F.col("rank") == 0) | (F.col("r") <= most)).select("site", "url", F.coalesce("page_type", urls.page_type(F.col("url"))).alias("page_type"), "r")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text, urls
-from ..operators import checks, html, report, robots, sampling, sections
+from ..operators import archetype, checks, gated, html, rendered, report, robots, sampling, sections
 from ..sources.tables import raw_pages
 
 
@@ -363,6 +363,59 @@ def top_orders(spark, sf_dir):
     return rows.where("place <= 3")
 
 
+def _typed(spark, sf_dir) -> DataFrame:
+    return checks.typed(_extracted(spark, sf_dir))
+
+
+def _sites(pages: DataFrame) -> DataFrame:
+    return archetype.archetypes(pages, pages.select("site", "ord", "url", "page_type"))
+
+
+@query()
+def site_archetypes(spark, sf_dir):
+    return _sites(_typed(spark, sf_dir))
+
+
+@query()
+def identity_check_envelopes(spark, sf_dir):
+    pages = _typed(spark, sf_dir)
+    return gated.identity_envelopes(pages, _sites(pages))
+
+
+@query()
+def trade_check_envelopes(spark, sf_dir):
+    pages = _typed(spark, sf_dir)
+    return gated.trade_envelopes(pages, _sites(pages))
+
+
+@query()
+def date_check_envelopes(spark, sf_dir):
+    return gated.date_envelopes(_typed(spark, sf_dir))
+
+
+@query()
+def render_check_envelopes(spark, sf_dir):
+    """The fixture has no renderings, so what static HTML tells."""
+    none = spark.createDataFrame([], rendered.RENDERED)
+    pages = _typed(spark, sf_dir)
+    return rendered.home_envelopes(pages, none).unionByName(rendered.page_envelopes(pages, none))
+
+
+_WORDING = f"""
+SELECT doc_id, {{0}} AS prescriptive, {{1}} AS prohibited FROM documents"""
+
+
+@query(
+    _WORDING.format(
+        " OR ".join(f"contains(lower(coalesce(text, '')), {_quoted(m.lower())})" for m in (*report.PRESCRIPTIVE, *report.MARKUP)),
+        " OR ".join(f"regexp_matches(coalesce(text, ''), {_quoted(p)})" for p in report.PROHIBITED),
+    )
+)
+def wording_flags(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", report.is_prescriptive(t).alias("prescriptive"), report.is_prohibited(t).alias("prohibited"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -85,3 +85,40 @@ def test_trade_markup_and_dates(spark):
     assert {k: s[k] for k in want} == want and all(v == "not_applicable" for k, v in s.items() if k not in want)
     s = {r.url: r.state for r in gated.date_envelopes(p).collect()}
     assert s["https://u/article/2023/x"] == "present" and "https://q/blog/x" not in s
+
+
+def test_archetypes(spark):
+    from pyspark.sql import functions as F
+
+    from lakelens.operators import archetype
+
+    wall = "<title>Just a moment</title><body>x"
+    p = pages(spark, [
+        ("shop", "https://shop.com/", "<meta name=generator content=Shopify><body><a href=/cart>Cart</a><a href=/product/1>p</a>"),
+        ("docs", "https://docs.x.com/", "<title>Documentation</title><body>x"),
+        ("uni", "https://x.edu/", ld({"@type": "CollegeOrUniversity", "name": "U"}) + "<a href=/donate>Give</a>"),
+        ("me", "https://ann.net/", ld({"@type": "Person", "name": "Ann"}) + "<h1>Hi, I'm a writer</h1><a href=/about>about me</a>"),
+        ("small", "https://small.com/", "<body>x<a href=/zzz>z</a>"), ("small", "https://small.com/zzz", "<body>y"), ("blocked", "https://blocked.com/", wall),
+    ])
+    inventory = p.select("site", "ord", "url", "page_type")
+    got = {r.site: (r.archetype, r.confidence) for r in archetype.archetypes(p, inventory).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"shop": "ecommerce", "docs": "documentation", "uni": "institutional", "me": "personal", "small": "brochure", "blocked": "unknown"}
+    assert got["docs"][1] == 0.8 and got["small"][1] == 0.6  # 7 points: 0.5 + 0.25 * 7 / 12 + 0.15 = 0.796
+    scores = spark.createDataFrame([([(3.0, 0, "a"), (3.0, 1, "b")],), ([(4.0, 0, "a"), (3.0, 1, "b")],), ([(2.0, 0, "a"), (-3.0, 1, "b")],)], "s array<struct<score:double,rank:int,kind:string>>")
+    assert [r[0].archetype for r in scores.select(archetype.decide(F.col("s"))).collect()] == ["unknown", "a", "unknown"]
+
+
+def test_wording_and_contradictions(spark):
+    from lakelens.operators import report
+
+    recs = spark.createDataFrame(
+        [("s", "R-001", "CHK-D-007", "k", "u1", "Consider whether"), ("s", "R-002", "CHK-D-008", "k", "u2", "please add a tag"), ("s", "R-003", "CHK-D-005", "k", "u3", " "), ("t", "R-001", "CHK-D-007", "k", "u4", "a guarantee of top ranking")],
+        "site string, rec_id string, check_id string, defect_key string, url string, summary string",
+    )
+    kept, told = report.gate_wording(recs)
+    assert {(r.site, r.rec_id) for r in kept.collect()} == {("s", "R-001"), ("t", "R-001")}
+    assert {tuple(r) for r in told.collect()} == {("s", "prescriptive_wording", "R-002"), ("s", "empty_summary", "R-003"), ("t", "prohibited_wording", "R-001")}
+    kept, told = report.drop_contradicted(recs, spark.createDataFrame([("s", "identity_jsonld"), ("s", "feed")], "site string, detector string"))
+    assert {(r.site, r.rec_id) for r in kept.collect()} == {("s", "R-002"), ("s", "R-003"), ("t", "R-001")} and [tuple(r) for r in told.collect()] == [("s", "contradicted_by_strength", "R-001")]
+    rolled = spark.createDataFrame([("s", "CHK-D-008", "k", ["u2", "u9"])], "site string, check_id string, defect_key string, instances array<string>")
+    assert {r.url for r in report.uncovered(recs, rolled).collect()} == {"u1", "u3", "u4"}
