@@ -149,3 +149,35 @@ def uncovered(rows: DataFrame, rolled: DataFrame) -> DataFrame:
     """Single rows (site, check_id, defect_key, url) that no site-wide row (with instances, an array of URLs) covers."""
     covered = rolled.select("site", "check_id", "defect_key", F.explode("instances").alias("url")).distinct()
     return rows.join(covered, ["site", "check_id", "defect_key", "url"], "left_anti")
+
+
+def strengths(pages: DataFrame, access: DataFrame, sitemaps: DataFrame, audited_at: Column) -> DataFrame:
+    """site, strength_id, detector, evidence: what a site does well, numbered S-1, ... over those that hold.
+
+    pages are extracted ones that could be fetched, access is root_access() of the sites' robots,
+    sitemaps is (site, page_type, lastmod timestamp) of inventory rows that a sitemap gave. A date
+    in the future, or none, is not fresh.
+    """
+    c = F.col
+    named = lambda x: F.size(F.array_intersect(x["fields"], F.array(F.lit("name"), F.lit("url")))) == 2
+    who = F.exists("json_ld", lambda x: ~x["parse_error"] & named(x) & F.exists(x["types"], lambda t: t.endswith("organization") | t.isin("person", "localbusiness", "corporation", "ngo", "nonprofit")))
+    first = lambda holds, value: F.min_by(F.when(holds, value), F.when(holds, c("ord")))
+    own = c("canonical").isNotNull() & c("canonical_self") & ~c("canonical_cross")
+    markdown = F.lower(F.regexp_extract("url", r"^([^?#]*)", 1)).endswith(".md")
+    per = pages.groupBy("site").agg(
+        first(F.size("feeds") > 0, F.get("feeds", F.lit(0))).alias("feed"), first(F.coalesce(who, F.lit(False)), c("url")).alias("identity"), F.count("*").alias("n"),
+        F.count_if(own).alias("own"), first(markdown, c("url")).alias("markdown"),
+    )
+    may = access.where("allowed_root and class in ('retrieval', 'hybrid')").groupBy("site").agg(F.min("agent").alias("agent"))
+    maps = sitemaps.groupBy("site").agg(F.count_distinct("page_type").alias("kinds"), F.max("lastmod").alias("latest"))
+    df = per.join(may, "site", "full").join(maps, "site", "full")
+    age = F.unix_timestamp(audited_at) - F.unix_timestamp("latest")
+    said = lambda name, holds, text: F.when(holds, F.struct(F.lit(name).alias("detector"), text.cast("string").alias("evidence")))
+    ratio = F.concat_ws("/", c("own").cast("string"), c("n").cast("string"))
+    slots = F.array(
+        said("sitemap_fresh", (c("kinds") > 5) & (age >= 0) & (age < 90 * 86400), c("latest")), said("feed_discovery", c("feed").isNotNull(), c("feed")),
+        said("identity_jsonld", c("identity").isNotNull(), c("identity")),
+        F.coalesce(said("canonical_consistency", (c("n") >= 3) & (c("own") == c("n")), ratio), said("canonical_majority", (c("n") >= 3) & (c("own") >= 3) & (c("own") * 3 >= c("n") * 2), ratio)),
+        said("retrieval_crawler_access", c("agent").isNotNull(), c("agent")), said("content_negotiation", c("markdown").isNotNull(), c("markdown")),
+    )
+    return df.select("site", F.posexplode(F.array_compact(slots)).alias("k", "s")).select("site", F.concat(F.lit("S-"), c("k") + 1).alias("strength_id"), "s.*")

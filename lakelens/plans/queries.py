@@ -401,6 +401,14 @@ def render_check_envelopes(spark, sf_dir):
     return rendered.home_envelopes(pages, none).unionByName(rendered.page_envelopes(pages, none))
 
 
+@query()
+def site_strengths(spark, sf_dir):
+    """The fixture has neither robots nor sitemaps."""
+    access = spark.createDataFrame([], "site string, agent string, class string, allowed_root boolean")
+    sitemaps = spark.createDataFrame([], "site string, page_type string, lastmod timestamp")
+    return report.strengths(_extracted(spark, sf_dir).where("extraction_ok"), access, sitemaps, F.current_timestamp())
+
+
 _WORDING = f"""
 SELECT doc_id, {{0}} AS prescriptive, {{1}} AS prohibited FROM documents"""
 

@@ -122,3 +122,22 @@ def test_wording_and_contradictions(spark):
     assert {(r.site, r.rec_id) for r in kept.collect()} == {("s", "R-002"), ("s", "R-003"), ("t", "R-001")} and [tuple(r) for r in told.collect()] == [("s", "contradicted_by_strength", "R-001")]
     rolled = spark.createDataFrame([("s", "CHK-D-008", "k", ["u2", "u9"])], "site string, check_id string, defect_key string, instances array<string>")
     assert {r.url for r in report.uncovered(recs, rolled).collect()} == {"u1", "u3", "u4"}
+
+
+def test_strengths(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from lakelens.operators import report
+
+    own = "<head><link rel=canonical href='{0}'><link rel=alternate type='application/rss+xml' href='/f'></head>"
+    p = pages(spark, [(s, f"https://{s}/p{i}.md", own.format(f"https://{s}/p{i}.md") if s == "a" or i < 3 else "<body>x") for s, n in (("a", 3), ("b", 4), ("c", 6)) for i in range(n)])
+    p = p.where("site <> 'c' or ord > 9")
+    access = spark.createDataFrame([("a", "Zbot", "hybrid", True), ("a", "Abot", "retrieval", True), ("b", "Abot", "retrieval", False), ("z", "T", "hybrid", True)], "site string, agent string, class string, allowed_root boolean")
+    day = lambda n: datetime.datetime(2026, 1, 1) - datetime.timedelta(days=n)
+    maps = spark.createDataFrame([(s, f"t{i}", day(d)) for s, d in (("a", 89), ("b", 90), ("z", -1)) for i in range(6)], "site string, page_type string, lastmod timestamp")
+    got = {(r.site, r.strength_id): (r.detector, r.evidence) for r in report.strengths(p, access, maps, F.lit(day(0))).collect()}
+    assert [got["a", f"S-{i}"][0] for i in range(1, 6)] == ["sitemap_fresh", "feed_discovery", "canonical_consistency", "retrieval_crawler_access", "content_negotiation"]
+    assert got["a", "S-4"][1] == "Abot" and [got["b", f"S-{i}"] for i in (1, 2)] == [("feed_discovery", "/f"), ("canonical_majority", "3/4")]
+    assert got["z", "S-1"] == ("retrieval_crawler_access", "T") and ("z", "S-2") not in got and [k for k in got if k[0] == "c"] == [("c", "S-1")]
