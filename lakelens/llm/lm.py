@@ -1,15 +1,15 @@
 """Language-model scores by a weighted backoff automaton, trained on the corpus it scores.
 
-States are the empty history and every frequent word (relative frequency of at least `theta`, so
-never more than 1 / theta states, which is what may be collected and broadcast). A stored bigram
-(u, v) between frequent words, seen twice or more, is an arc of state u with weight
-log10((c(uv) - discount) / c(u)); any other word takes u's failure arc, with u's backoff weight, to
-the empty history, whose arcs are the add-one unigrams. One left-to-right pass over a text carries
-the state and adds up log10 probabilities; a text starts in the state of the end token.
-
-The counts grow with the corpus and are never gathered: texts are cut into blocks of bounded bytes,
-every block asks for the counts of its own words and bigrams by a shuffle on the n-gram, and gets
-them back by a shuffle on the block. Words go by 64-bit hashes.
+States are the empty history and every word. A bigram (u, v) seen `least` times or more is an arc of
+state u with weight log10((c(uv) - discount) / c(u)); any other word takes u's failure arc, with u's
+backoff weight, to the empty history, whose arcs are the add-one unigrams. One left-to-right pass
+over a text carries the state and adds up log10 probabilities; a text starts in the state of the end
+token.
+
+Counts and backoff weights grow with the corpus and are never gathered: texts are cut into blocks of
+bounded bytes, every block asks for the counts of its own words and bigrams by a shuffle on the
+n-gram, and gets them back, with the backoff weights of its words, by a shuffle on the block. Words
+go by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -108,12 +108,17 @@ def _histories(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
+def _pairs(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple:
+    """The block's bigrams, as history * size + word, and the place among them of each token's."""
+    return np.unique(_histories(words, lengths).astype(np.int64) * size + words, return_inverse=True)
+
+
 def _sent(names: list[str], *columns) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(columns[0]), ROWS):
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + ROWS]) for c in columns], names=names)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, theta: float = 1e-4, discount: float = 0.75, least: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, discount: float = 0.75, least: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     Held-out texts (crc32 of the id as text mod folds is held_fold) are scored but not learnt. Null
@@ -138,69 +143,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     asked = blocks.mapInArrow(unigrams, "key long, block long, place int, n int")
     same = Window.partitionBy("key")
     found = asked.select("key", "block", "place", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("lead"), (F.count("*").over(same) > 1).alias("shared"))
-    floor = max(least, theta * total)
-    found = found.select("block", "place", "total", "lead", "shared", F.when(F.col("lead") & (F.col("total") >= floor), F.col("key")).alias("frequent"))
     found = stored(found, f"{path}/unigrams")
     distinct = found.where("lead and total > 0").count()
-    core = sorted((r["frequent"], r["total"]) for r in found.where("frequent is not null").select("frequent", "total").collect())
-    keys, counts = np.array([x for x, _ in core], dtype=np.int64), np.array([n for _, n in core], dtype=np.float64)
-    m = len(keys)
     unit = total + distinct + 1  # N + 1 * (V + 1)
 
-    def states(vocabulary: np.ndarray) -> np.ndarray:
-        """The state of each word of a block's vocabulary, -1 for the empty history."""
-        if not m:
-            return np.full(len(vocabulary), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(keys, vocabulary), m - 1)
-        return np.where(keys[at] == vocabulary, at, -1)
-
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             lengths, _, words, vocabulary, train = _opened(r)
-            state = states(vocabulary)
-            u, v = state[_histories(words, lengths)], state[words]
-            both = (u >= 0) & (v >= 0)
-            pairs, inverse = np.unique(u[both] * m + v[both], return_inverse=True)
-            n = np.bincount(inverse[train[both]], minlength=len(pairs)).astype(np.int32)
-            yield from _sent(["pair", "block", "n"], pairs, np.full(len(n), r["block"]), n)
-
-    asked = blocks.mapInArrow(bigrams, "pair long, block long, n int")
-    same = Window.partitionBy("pair")
-    arcs = asked.select("pair", "block", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("lead")).where(F.col("total") >= least)
+            pairs, inverse = _pairs(words, lengths, len(vocabulary))
+            n = np.bincount(inverse[train], minlength=len(pairs)).astype(np.int32)
+            u, v = vocabulary[pairs // len(vocabulary)], vocabulary[pairs % len(vocabulary)]
+            yield from _sent(["u", "v", "block", "place", "n"], u, v, np.full(len(n), r["block"]), np.arange(len(n), dtype=np.int32), n)
+
+    asked = blocks.mapInArrow(bigrams, "u long, v long, block long, place int, n int")
+    same = Window.partitionBy("u", "v")
+    arcs = asked.select("u", "v", "block", "place", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("lead")).where(F.col("total") >= least)
+    arcs = arcs.select("block", "place", "total", "lead", *[F.when(F.col("lead"), F.col(x)).alias(x) for x in ("u", "v")])
     arcs = stored(arcs, f"{path}/bigrams")
-    backoff = np.zeros(m)
-    if m:
-        table = spark.createDataFrame([(i, float(n)) for i, n in enumerate(counts.tolist())], "v long, n double")
-        sums = arcs.where("lead").select(F.floor(F.col("pair") / m).cast("long").alias("u"), (F.col("pair") % m).alias("v"), "total").join(F.broadcast(table), "v")
-        sums = sums.groupBy("u").agg(F.sum(F.col("total") - discount).alias("mass"), F.sum((F.col("n") + 1) / unit).alias("lower")).collect()
-        mass, lower = np.zeros(m), np.zeros(m)
-        for r in sums:  # one row for each state at most
-            mass[r["u"]], lower[r["u"]] = r["mass"], r["lower"]
-        backoff = np.log10(np.maximum(1 - mass / counts, 1e-12) / np.maximum(1 - lower, 1e-12))
+    counts = found.where("lead and total > 0").select(F.col("key").alias("v"), F.col("total").alias("n"))
+    sums = arcs.where("lead").select("u", "v", "total").join(counts, "v").groupBy(F.col("u").alias("key"))
+    sums = sums.agg(F.sum("total").alias("seen"), F.count("*").alias("arcs"), F.sum(F.col("n") + 1).alias("lower"))
+    mass = (F.col("seen") - discount * F.col("arcs")) / F.col("total")
+    weight = F.log10(F.greatest(1 - mass, F.lit(1e-12)) / F.greatest(1 - F.col("lower") / unit, F.lit(1e-12)))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        kind, at, n = (np.asarray(right.column(c)) for c in ("kind", "at", "total"))
-        order = np.argsort(at[kind == 1])
-        pairs, pair_counts = at[kind == 1][order], n[kind == 1][order]
+        at, n, w = (np.asarray(right.column(c)) for c in ("at", "total", "weight"))
         for r in left.to_pylist():
             lengths, held, words, vocabulary, train = _opened(r)
             c = np.bincount(words[train], minlength=len(vocabulary)).astype(np.int64)
-            c[at[kind == 0]] = n[kind == 0]
+            c[at[at >= 0]] = n[at >= 0]
+            backoff = np.zeros(len(vocabulary))
+            backoff[at[at >= 0]] = w[at >= 0]
             low = np.log10((c + 1) / unit)
             starts = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))[:-1]))
             base = low[words]
-            logs = base
-            if m:
-                state = states(vocabulary)
-                u, v = state[_histories(words, lengths)], state[words]
-                logs = base + np.where(u >= 0, backoff[np.maximum(u, 0)], 0.0)
-                both = np.flatnonzero((u >= 0) & (v >= 0))
-                want = u[both] * m + v[both]
-                if len(pairs) and len(want):
-                    near = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
-                    hit = pairs[near] == want
-                    logs[both[hit]] = np.log10((pair_counts[near[hit]] - discount) / counts[u[both[hit]]])
+            before = _histories(words, lengths)
+            pairs, inverse = _pairs(words, lengths, len(vocabulary))
+            both = np.zeros(len(pairs), dtype=np.int64)
+            both[-1 - at[at < 0]] = n[at < 0]
+            both = both[inverse]
+            hit = both > 0
+            logs = base + backoff[before]
+            logs[hit] = np.log10((both[hit] - discount) / c[before[hit]])
             ids = np.frombuffer(r["ids"], dtype=np.int64)
             columns = [
                 pa.array(ids, mask=np.frombuffer(r["missing"], dtype=np.uint8).astype(bool)), pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64)),
@@ -211,8 +196,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         release()
         return pa.concat_tables(out) if out else _SCORES.empty_table()
 
-    answers = found.where("shared").select("block", F.lit(0).alias("kind"), F.col("place").cast("long").alias("at"), "total")
-    answers = answers.unionByName(arcs.select("block", F.lit(1).alias("kind"), F.col("pair").alias("at"), "total"))
+    answers = found.join(sums, "key", "left").select("block", F.col("place").alias("at"), "total", F.coalesce(weight, F.lit(0.0)).alias("weight"), "shared").where("shared or weight <> 0").drop("shared")
+    answers = answers.unionByName(arcs.select("block", (-1 - F.col("place")).alias("at"), "total", F.lit(0.0).alias("weight")))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

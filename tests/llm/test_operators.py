@@ -125,6 +125,33 @@ def test_language_model(docs):
         assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], x, strict=False)), rel_tol=1e-9)
 
 
+def test_language_model_learns_rare_bigrams(spark):
+    """Words far below one in 10,000 are histories and followers too."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(VOCABULARY, k=1000)) for _ in range(110)] + ["zyx wvu"] * 3 + ["zyx rare", "zyx wvu zyx", BASE[0] + " zyx wvu"]
+    split = lambda x: [*x.encode().lower().split(), None]
+    train = [split(x) for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for x in train for w in x)
+    pairs = Counter((a, b) for x in train for a, b in zip([None, *x], x, strict=False))
+    arcs, unit = defaultdict(dict), sum(c.values()) + len(c) + 1
+    for (a, b), k in pairs.items():
+        if k >= 2:
+            arcs[a][b] = k
+    assert 2 <= c[b"zyx"] < 1e-4 * sum(c.values()) and arcs[b"zyx"][b"wvu"] >= 2
+
+    def p(a, b):
+        if b in arcs[a]:
+            return (arcs[a][b] - 0.75) / c[a]
+        left = 1 - sum(k - 0.75 for k in arcs[a].values()) / c[a] if arcs[a] else 1
+        return left / (1 - sum((c[w] + 1) / unit for w in arcs[a])) * (c[b] + 1) / unit
+
+    got = lm.score(table(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        x = split(texts[r.doc_id])
+        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], x, strict=False)), rel_tol=1e-9)
+
+
 def test_toxicity(spark):
     rng, rows, labels = random.Random(2), [], []
     for i in range(1500):
