@@ -199,6 +199,36 @@ def test_secrets_battery(spark):
     assert sum(got[i] for i in range(60)) >= 54 and sum(got[i] for i in range(60, len(rows))) <= 2
 
 
+def test_secrets_recall(spark):
+    """Random strings of every encoding and length, alone and as one of 20 in a text; ordinary writing beside them."""
+    rng, rows, n = random.Random(9), [], 40
+
+    def key(symbols, length):
+        while True:  # a candidate has a digit and a letter
+            k = "".join(rng.choice(symbols) for _ in range(length))
+            if re.search("[0-9]", k) and re.search("[A-Za-z]", k):
+                return k
+
+    symbols = {"hex": "0123456789ABCDEF", "base32": "abcdefghijklmnopqrstuvwxyz234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": secrets.ALPHABETS["base64"][:62]}
+    cases = [(kind, length) for kind in symbols for length in (20, 24, 32, 40, 48, 64)]
+    for kind, length in cases:
+        rows += [(len(rows) + i, f"see {key(symbols[kind], length)} there", None, None) for i in range(n)]
+    for kind, length in cases:
+        rows += [(len(rows) + i, " x ".join(key(symbols[kind], length) for _ in range(20)), None, None) for i in range(2)]
+    said = ["-".join(rng.choices(["the", "best", "ways", "learn", "garden", "with", "small", "house", "about", "morning", "people"], k=5)) + f"-{rng.randint(1, 2025)}" for _ in range(40)]
+    said += [x.title().replace("-", "") for x in said[:20]] + [x.upper().replace("-", "_") for x in said[:20]] + ["/".join(["assets", "images", x]) for x in said[:20]] + [x.replace("-", "") for x in said]
+    first = len(rows)
+    rows += [(first + i, f"see {x} there", None, None) for i, x in enumerate(said)]
+    got = {r.doc_id: r.n_random for r in secrets.digest(secrets.find_secrets(table(spark, rows))).collect()}
+    for k, case in enumerate(cases):
+        alone = sum(got[k * n + i] for i in range(n)) / n
+        within = sum(got[len(cases) * n + 2 * k + i] for i in range(2)) / 40
+        print(case, alone, within)
+        assert alone >= 0.9 and within >= 0.9, case
+    print("writing found", sum(got[first + i] for i in range(len(said))), "of", len(said))
+    assert sum(got[first + i] for i in range(len(said))) <= 0.02 * len(said)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(*r, 0, True) for r in rows], "vec_id long, embedding array<float>, label int, n_links int, kept boolean")
 
