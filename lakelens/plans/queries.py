@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import geometry, text, urls
 from ..operators import archetype, checks, gated, html, rendered, report, robots, sampling, sections
@@ -179,14 +180,26 @@ def evidence_density(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.has_evidence(F.col("text")).alias("evidence"))
 
 
+def _rendered_envelopes(spark, pages: DataFrame) -> list[DataFrame]:
+    """The fixture has no renderings, so what static HTML tells."""
+    none = spark.createDataFrame([], rendered.RENDERED)
+    return [rendered.home_envelopes(pages, none), rendered.page_envelopes(pages, none), rendered.rendering_envelopes(none)]
+
+
 def _envelopes(spark, sf_dir) -> DataFrame:
-    pages = checks.typed(_extracted(spark, sf_dir))
-    return checks.page_envelopes(pages)
+    """All that the reports are made of; pages and envelopes are made once and kept on disk, as they are read many times."""
+    pages = _typed(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    sites = _sites(pages)
+    parts = [
+        checks.page_envelopes(pages), checks.site_envelopes(pages), gated.identity_envelopes(pages, sites), gated.trade_envelopes(pages, sites), gated.date_envelopes(pages),
+        *_rendered_envelopes(spark, pages),
+    ]
+    return reduce(DataFrame.unionByName, parts).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
 def page_check_envelopes(spark, sf_dir):
-    return _envelopes(spark, sf_dir)
+    return checks.page_envelopes(_typed(spark, sf_dir))
 
 
 @query()
@@ -395,10 +408,8 @@ def date_check_envelopes(spark, sf_dir):
 
 @query()
 def render_check_envelopes(spark, sf_dir):
-    """The fixture has no renderings, so what static HTML tells."""
-    none = spark.createDataFrame([], rendered.RENDERED)
-    pages = _typed(spark, sf_dir)
-    return rendered.home_envelopes(pages, none).unionByName(rendered.page_envelopes(pages, none))
+    home, page, _ = _rendered_envelopes(spark, _typed(spark, sf_dir))
+    return home.unionByName(page)
 
 
 @query()

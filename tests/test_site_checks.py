@@ -141,3 +141,23 @@ def test_strengths(spark):
     assert [got["a", f"S-{i}"][0] for i in range(1, 6)] == ["sitemap_fresh", "feed_discovery", "canonical_consistency", "retrieval_crawler_access", "content_negotiation"]
     assert got["a", "S-4"][1] == "Abot" and [got["b", f"S-{i}"] for i in (1, 2)] == [("feed_discovery", "/f"), ("canonical_majority", "3/4")]
     assert got["z", "S-1"] == ("retrieval_crawler_access", "T") and ("z", "S-2") not in got and [k for k in got if k[0] == "c"] == [("c", "S-1")]
+
+
+def test_reports_hold_all_checks(spark, tmp_path, monkeypatch):
+    """Site, identity, trade, date and rendering checks reach every report query."""
+    from lakelens.plans import queries
+
+    body = "word " * 300 + "announced released launched "
+    html_of = {"https://a.test/": "<body>x", "https://b.test/": f"<body><h1>Hello</h1>{'<img src=i>' * 4}{body}", "https://b.test/2024/05/01/q": f"<body><h1>News</h1><time datetime=2024-05-01>May</time>{body}", "https://c.test/shop/p": "<body>x"}
+    spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html_of.items())], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    envelopes = queries._envelopes(spark, str(tmp_path))
+    monkeypatch.setattr(queries, "_envelopes", lambda *_: envelopes)
+    got = {n: queries.queries()[n](spark, str(tmp_path)).collect() for n in ("envelope_state_counts", "site_findings", "site_recommendations", "summary_by_severity", "checks_passed", "top_priorities", "meta_warnings")}
+    has = lambda n: {(r.site, r.check_id[4:]) for r in got[n]}
+    every = {f"CHK-D-{n:03d}" for n in (3, 4, 6, 7, 8, 12, 25, 27, 29, 30, 31, 32, 33, 34)} | {f"CHK-E-{n:03d}" for n in (14, 15, 19, 21, 24)}
+    assert every <= {r.check_id for r in got["envelope_state_counts"]}
+    assert ("a.test", "D-003") in has("site_findings") and ("b.test", "D-025") in has("site_findings")
+    assert ("b.test", "E-021") in has("site_recommendations") and ("a.test", "E-021") in has("checks_passed") and ("b.test", "D-012") in has("checks_passed")
+    assert ("a.test", "D-003") in has("top_priorities") and ("b.test", "D-025") in has("top_priorities")
+    assert {r.site: r.total for r in got["summary_by_severity"]} == {s: sum(r.site == s for r in got["site_findings"]) for s in {r.site for r in got["site_findings"]}}
+    assert got["meta_warnings"] == []
