@@ -13,20 +13,35 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-ROWS_A_BATCH = 5000
+#: Arrow batches of all operators here: rows are whole texts.
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset (tests on one machine) a temporary folder takes its place.
-    Tables in it feed lazily evaluated results, so they stay until the folder is cleaned.
+    Only on one machine (a local master) may that setting be missing: a temporary folder takes its
+    place there. Tables in it feed lazily evaluated results, so they stay until clean() is called.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "lakelens-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_own(spark, base)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession, base: str) -> str:
+    return f"{base.rstrip('/')}/lakelens-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application's operators have stored; results not yet written are lost."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark, base))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -43,17 +58,15 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def share_code(spark: SparkSession, rows: int = ROWS_A_BATCH, size: int = 0) -> None:
-    """Lets Python workers on this host import the package when only the driver's path has it.
+def share_code(spark: SparkSession) -> None:
+    """Readies a session for Python workers, in the same way for every operator.
 
-    Arrow batches are held to that many rows, and to about that many bytes if size is given, as
-    rows here are whole texts.
+    Arrow batches are held to ROWS_A_BATCH rows and about BYTES_A_BATCH bytes, as rows are whole
+    texts. Workers on this host import the package from the driver's path; on other hosts it must be
+    installed or shipped (--py-files).
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-    if size:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BYTES_A_BATCH}b")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
@@ -61,6 +74,28 @@ def share_code(spark: SparkSession, rows: int = ROWS_A_BATCH, size: int = 0) ->
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two 64-bit hashes of all columns of a row, and their names: rows that agree in everything share them."""
+    plain = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        plain += [F.isnull(c), F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c]
+    names = [free_name(df, "__row"), free_name(df, "__row_too")]
+    return df.withColumns({n: F.xxhash64(F.lit(i), *plain) for i, n in enumerate(names)}), names
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """rows joined with a table of their keys, whose column n says how many rows a key has.
+
+    Keys with more than one in `share` of all rows are fewer than `share`, whatever the data: those
+    are broadcast, so no task gets all rows of a hot key. The rest meets in a shuffle. Both tables
+    are read twice and should be stored ones; rows without a match or with a null key are left out.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot, cold = side.where(F.col(n) > total / share), side.where(F.col(n) <= total / share)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
+
+
 def release() -> None:
     """Gives a Python worker's free memory back to the system; idle workers stay alive for a while."""
     import ctypes

@@ -95,61 +95,77 @@ def test_blocks_round_trip(n):
     assert ids == [None, 5] and (got == a).all() and before == 9 and lengths.tolist() == [n, 0]
 
 
-def test_language_model(docs):
+def automaton(texts, ids, m2=300.0, m3=5.0):
+    """Counts of the training texts and p(word | two words before), by the formula."""
     split = lambda x: [*(x or "").encode().lower().split(), None]
-    train = [split(x) for i, x in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for x in train for w in x)
-    n, v = sum(c.values()), len(c)
-    pairs = Counter((a, b) for x in train for a, b in zip([None, *x], x, strict=False))
-    states = {w for w, k in c.items() if k >= max(2, 1e-4 * n)}
-    arcs = defaultdict(dict)
-    for (a, b), k in pairs.items():
-        if a in states and b in states and k >= 2:
-            arcs[a][b] = k
-    unit = n + v + 1
-
-    def p(a, b):
-        if a not in states:
-            return (c[b] + 1) / unit
-        if b in arcs[a]:
-            return (arcs[a][b] - 0.75) / c[a]
-        left = 1 - sum(k - 0.75 for k in arcs[a].values()) / c[a]
-        return left / (1 - sum((c[w] + 1) / unit for w in arcs[a])) * (c[b] + 1) / unit
-
-    for a in list(states)[:20]:  # each state's probabilities, with the one unknown word's, add up to 1
-        assert abs(sum(p(a, b) for b in c) + p(a, "unknown") - 1) < 1e-9
-    for r in lm.score(docs).collect():
-        x = split(TEXTS[r.doc_id])
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(c[w] > 0 for w in x), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / unit) for w in x), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], x, strict=False)), rel_tol=1e-9)
-
-
-def test_language_model_learns_rare_bigrams(spark):
-    """Words far below one in 10,000 are histories and followers too."""
+    train = [split(x) for i, x in zip(ids, texts, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1 = Counter(w for x in train for w in x)
+    c2 = Counter(z for x in train for z in zip([None, *x], x, strict=False))
+    c3 = Counter(z for x in train for z in zip([None, *x], x, x[1:], strict=False))
+    unit = sum(c1.values()) + len(c1) + 1
+
+    def p(w, *h):
+        if not h:
+            return (c1[w] + 1) / unit
+        if len(h) == 1:
+            return (c2[h[0], w] + m2 * p(w)) / (c1[h[0]] + m2)
+        return (c3[h[0], h[1], w] + m3 * p(w, h[1])) / (c2[h[0], h[1]] + m3)
+
+    def score(x):
+        x = [None, *split(x)]
+        return sum(math.log10(p(w, *x[max(0, i - 2) : i])) for i, w in enumerate(x) if i)
+
+    return split, c1, c2, unit, p, score
+
+
+def test_language_model(docs):
+    split, c, pairs, unit, p, total = automaton(TEXTS, range(len(TEXTS)))
+    for h in [(a,) for a in list(c)[:20]] + [h for h in list(pairs)[:20] if h[1] is not None] + [(b"unseen", b"never")]:
+        # each state's probabilities, with the one unknown word's, add up to 1
+        assert abs(sum(p(w, *h) for w in c) + p(b"unknown", *h) - 1) < 1e-9
+    for block_bytes in (lm.BLOCK_BYTES, 2000):  # one block a task, and many
+        got = lm.score(docs, block_bytes=block_bytes).collect()
+        assert len(got) == len(TEXTS)
+        for r in got:
+            x = split(TEXTS[r.doc_id])
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(c[w] > 0 for w in x), sum(c.values()), zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+            assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / unit) for w in x), rel_tol=1e-9)
+            assert math.isclose(r.score, total(TEXTS[r.doc_id]), rel_tol=1e-9)
+
+
+def test_language_model_parts(spark, monkeypatch):
+    """Questions dealt to many parts, rare words as histories, nothing to learn from."""
     rng = random.Random(8)
-    texts = [" ".join(rng.choices(VOCABULARY, k=1000)) for _ in range(110)] + ["zyx wvu"] * 3 + ["zyx rare", "zyx wvu zyx", BASE[0] + " zyx wvu"]
-    split = lambda x: [*x.encode().lower().split(), None]
-    train = [split(x) for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for x in train for w in x)
-    pairs = Counter((a, b) for x in train for a, b in zip([None, *x], x, strict=False))
-    arcs, unit = defaultdict(dict), sum(c.values()) + len(c) + 1
-    for (a, b), k in pairs.items():
-        if k >= 2:
-            arcs[a][b] = k
-    assert 2 <= c[b"zyx"] < 1e-4 * sum(c.values()) and arcs[b"zyx"][b"wvu"] >= 2
-
-    def p(a, b):
-        if b in arcs[a]:
-            return (arcs[a][b] - 0.75) / c[a]
-        left = 1 - sum(k - 0.75 for k in arcs[a].values()) / c[a] if arcs[a] else 1
-        return left / (1 - sum((c[w] + 1) / unit for w in arcs[a])) * (c[b] + 1) / unit
-
-    got = lm.score(table(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        x = split(texts[r.doc_id])
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], x, strict=False)), rel_tol=1e-9)
+    texts = [" ".join(rng.choices(VOCABULARY, k=300)) for _ in range(60)] + ["zyx wvu"] * 3 + ["zyx rare", "zyx wvu zyx"]
+    monkeypatch.setattr(lm, "PART", 500)
+    *_, total = automaton(texts, range(len(texts)))
+    got = lm.score(table(spark, [(i, x, "en", "s") for i, x in enumerate(texts)]), block_bytes=5000).collect()
+    assert len(got) == len(texts) and all(math.isclose(r.score, total(texts[r.doc_id]), rel_tol=1e-9) for r in got)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = lm.score(table(spark, [(held, "a b", "en", "s")])).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_walk_goes_by_state():
+    """A token at a time, with failure arcs, against the vectorised walk."""
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 30, 50)
+    n = int(lengths.sum())
+    weights, states = rng.normal(size=(3, n)), rng.integers(0, 3, n)
+    want, i = [], 0
+    for k in lengths.tolist():
+        s, total = 1, 0.0
+        for j in range(i, i + k):
+            total, s = total + weights[s, j], states[j]
+        want.append(total)
+        i += k
+    assert np.allclose(lm.walked(weights, states, lengths.astype(np.int64), 1), want)
+
+
+def test_coded_numbers():
+    rng = np.random.default_rng(4)
+    for a in (np.array([], dtype=np.uint64), np.zeros(5, dtype=np.uint64), rng.integers(0, 1 << 40, 1000, dtype=np.uint64), np.array([2**64 - 1, 0], dtype=np.uint64)):
+        assert (lm._decoded(lm._coded(a)) == a).all()
 
 
 def test_toxicity(spark):
