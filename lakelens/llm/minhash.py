@@ -3,12 +3,15 @@
 A document's set is its distinct word shingles (64-bit hashes); its signature has the least hash
 under each of `coordinates` functions. Documents of equal sets are collapsed first. The others are
 posted under each (coordinate, value); two documents whose similarity reaches the threshold collide
-in at least `match` coordinates but for a chance of `miss`. So only the rarest
+in at least `match` coordinates but for a chance of `miss` (0: one collision will do, so that none
+is missed but for a chance of (1 - similarity)^coordinates, below 1e-33). So only the rarest
 coordinates - match + 1 postings of a document, in one global order, can be the first that a pair
 shares: values posted once are skipped, and the prefix of the rest makes the lists. Documents that
-share a list are gathered under the list's least document, in blocks; each pair of blocks counts
-collisions, skips pairs below `match`, and confirms the others on their full sets. Only a spanning
-forest of the links leaves a task.
+share a list are gathered under the list's least document, in blocks. Within a pair of blocks,
+collisions are counted by merging posting lists with skips: a document merges only the shortest
+coordinates - match + 1 of its lists, and skips through the others for the candidates found there.
+Pairs above `match` are confirmed on their full sets. Only a spanning forest of the links leaves a
+task. Rows of long lists and of large groups of equal sets meet their list or group by broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, scratch, share_code, stored
+from .common import components, scratch, share_code, spread_join, stored, with_row_key
 from .embeddup import forest
 from .tokens import batches_of
 
@@ -75,8 +78,10 @@ class Shingler:
         return out
 
 
-def multipliers(coordinates: int) -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def functions(coordinates: int) -> list[tuple[np.uint64, np.uint64]]:
+    """A mask and an odd multiplier for each coordinate."""
+    draws = np.random.default_rng(20240229).integers(0, 1 << 63, (coordinates, 2), dtype=np.uint64)
+    return [(a * np.uint64(2), b * np.uint64(2) + np.uint64(1)) for a, b in draws]
 
 
 def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
@@ -86,24 +91,48 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
     if some:
         flat = np.concatenate([sets[i] for i in some])
         starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])[:-1]))
-        for k, a in enumerate(multipliers(coordinates)):
-            least = np.minimum.reduceat((flat * a) >> np.uint64(32), starts)
+        for k, (mask, a) in enumerate(functions(coordinates)):
+            least = np.minimum.reduceat(((flat ^ mask) * a) >> np.uint64(32), starts)
             out[some, k] = least.astype(np.uint32).view(np.int32)
     return out
 
 
+def collisions(sa: np.ndarray, sb: np.ndarray, match: int) -> np.ndarray:
+    """Pairs (i, j) of rows that agree in at least match coordinates.
+
+    Each row of sa has a posting list of rows of sb for each coordinate. A pair with match collisions
+    shares one of the row's shortest coordinates - match + 1 lists: those are merged, and the
+    candidates found there are looked up in the rest.
+    """
+    coordinates = sa.shape[1]
+    order = np.argsort(sb, axis=0, kind="stable")
+    lo, hi = (np.stack([np.searchsorted(sb[order[:, k], k], sa[:, k], side) for k in range(coordinates)], axis=1) for side in ("left", "right"))
+    size = hi - lo
+    prefix = np.argpartition(size, coordinates - match, axis=1)[:, : coordinates - match + 1] if match > 1 else np.tile(np.arange(coordinates), (len(sa), 1))
+    out = []
+    for at in range(0, len(sa), 64):
+        i, c = np.arange(at, min(at + 64, len(sa)))[:, None], prefix[at : at + 64]
+        n, first = size[i, c].ravel(), lo[i, c].ravel()
+        owner = np.repeat(np.broadcast_to(i, c.shape).ravel(), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        j = order[place, np.repeat(c.ravel(), n)]
+        found = np.unique(owner * len(sb) + j)
+        x, y = found // len(sb), found % len(sb)
+        same = np.zeros(len(found), dtype=np.int64)
+        for k in range(coordinates):
+            same += sa[x, k] == sb[y, k]
+        out.append(np.stack([x, y], axis=1)[same >= match])
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
 def _links(a: list[np.ndarray], sa: np.ndarray, b: list[np.ndarray], sb: np.ndarray, alone: bool, match: int, num: int, den: int) -> np.ndarray:
     """Pairs (i, j) with enough collisions and den * |intersection| >= num * |union|."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pairs = []
-    for lo in range(0, len(a), 64):
-        same = np.zeros((min(64, len(a) - lo), len(b)), dtype=np.uint8)
-        for k in range(sa.shape[1]):
-            same += sa[lo : lo + 64, k][:, None] == sb[:, k][None, :]
-        ratio = den * np.minimum(na[lo : lo + 64, None], nb[None, :]) >= num * np.maximum(na[lo : lo + 64, None], nb[None, :])
-        i, j = np.nonzero((same >= match) & ratio)
-        pairs.append(np.stack([i + lo, j], axis=1))
-    p = np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
+    na, nb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    if not len(a) or not len(b):
+        return np.zeros((0, 2), dtype=np.int64)
+    p = collisions(sa, sb, match)
+    x, y = na[p[:, 0]], nb[p[:, 1]]
+    p = p[den * np.minimum(x, y) >= num * np.maximum(x, y)]
     if alone:
         p = p[p[:, 0] < p[:, 1]]
     if not len(p):
@@ -166,19 +195,21 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
 
     signs = stored(rows.mapInArrow(signed, "doc_id long, n long, digest binary, sig array<int>"), f"{path}/signatures")
     some = signs.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "sig")
-    posted = reps.select("doc_id", F.posexplode("sig").alias("k", "v"))
-    lists = posted.groupBy("k", "v").agg(F.count("*").alias("m")).where("m > 1")
-    shared = posted.join(lists.hint("merge"), ["k", "v"])
+    # The least document of each set stands for all of them.
+    reps = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("r"), F.count("*").alias("copies"))
+    reps = stored(reps.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"), "copies"), f"{path}/classes")
+    classes = reps.select("digest", "rep", "copies")
+    posted = reps.select(F.col("rep").alias("doc_id"), F.posexplode("sig").alias("k", "v"))
+    lists = stored(posted.groupBy("k", "v").agg(F.count("*").alias("m")).where("m > 1"), f"{path}/lists")
+    shared = spread_join(posted, lists, ["k", "v"], "m")
     mine = Window.partitionBy("doc_id")
     # Of a document's postings, those that occur once come first in the order and are skipped.
     order = F.row_number().over(mine.orderBy("m", "k", "v"))
     shared = shared.select("doc_id", "k", "v", order.alias("r"), F.count("*").over(mine).alias("c")).where(F.col("r") + F.greatest(F.lit(0), F.lit(coordinates) - F.col("c")) <= prefix)
     shared = stored(shared.select("doc_id", "k", "v"), f"{path}/postings")
-    heads = shared.groupBy("k", "v").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1")
-    members = stored(shared.join(heads, ["k", "v"]).select("head", "doc_id").distinct(), f"{path}/members")
-    blocks = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("head", "h")
+    heads = stored(shared.groupBy("k", "v").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1"), f"{path}/heads")
+    members = stored(spread_join(shared, heads, ["k", "v"], "m").select("head", "doc_id").distinct(), f"{path}/members")
+    blocks = stored(members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")), f"{path}/blocks")
     nodes = members.select("doc_id").distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
 
     # The nodes grow with the corpus: the plan must not depend on whether they still fit a broadcast.
     sets = rows.join(nodes.hint("merge"), "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, s binary")
-    dealt = members.join(blocks, F.col("head") == F.col("h")).drop("h")
+    dealt = spread_join(members, blocks, ["head"], "m")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("head", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id").join(sets.hint("merge"), "doc_id")
@@ -208,14 +239,26 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
 
     edges = dealt.groupBy("head", "a", "b").applyInPandas(linked, "a long, b long")
     joined = components(edges)
-    out = signs.select("doc_id", "n", "digest").join(classes, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    verdicts = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("root"), "copies")
+    narrow = signs.select("doc_id", "n", "digest")
+    found = spread_join(narrow.where("n > 0 and doc_id is not null"), stored(verdicts, f"{path}/verdicts"), ["digest"], "copies")
+    out = found.select("doc_id", "n", "root").unionByName(narrow.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("root")))
+    component = F.col("root")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """docs with one document of each component; rows without an id stay, as do empty texts."""
-    key = free_name(docs, "_keep")
-    keep = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(keep, F.col(id_col).cast("long") == F.col(key), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component: the one of least id, nulls last, then of least row hash.
+
+    Rows are nodes by all their columns, not by their ids, so no text is lost to a null or repeated
+    id; rows that agree in every column count once. Texts without words link with nothing and stay.
+    Long texts are read whole. Other columns are carried, whatever their names. An empty table gives
+    an empty one.
+    """
+    rows, keys = with_row_key(docs)
+    path = scratch(docs.sparkSession)
+    found = near_duplicates(rows, keys[0], text_col, **options).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
+    ids = rows.select(F.col(keys[0]).alias("node"), F.col(keys[1]).alias("too"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id")).distinct()
+    best = ids.join(found.distinct().hint("merge"), "node").groupBy("root").agg(F.min(F.struct("id", "node", "too")).alias("b"))
+    best = stored(best.select(F.col("b.node").alias(keys[0]), F.col("b.too").alias(keys[1])), f"{path}/kept")
+    return rows.dropDuplicates(keys).join(best.hint("merge"), keys, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
