@@ -3,8 +3,13 @@
 score = 1 / (1 + exp(-(w0 + sum w_i + sum over pairs <v_i, v_j>))) over the hashed terms of a text:
 pairs of terms, such as an insult with a group's name, count beyond what each term adds. Terms are
 words stripped of punctuation, lower-cased, hashed to 2^bits places; a term counts once in a text, so
-long texts aren't diluted. Only terms that a chi-squared test ties to the label in the training rows
-have weights (at most `terms`); the model's size is thus fixed, and it is broadcast.
+long texts aren't diluted.
+
+A first machine gives every term that `rare` training rows have a weight and a factor vector. The
+terms to which it gives most are tested in pairs: does one tell the label among the rows that have the
+other? So a pair counts even if each of its terms is neutral by itself. The machine that scores has
+the terms of such pairs and all those that tell the label alone. It has at most 2^bits rows of
+1 + factors numbers (10 MB) at any size of the corpus; it is broadcast.
 """
 
 from __future__ import annotations
@@ -18,18 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, share_code
+from .common import crc32_of_id, scratch, share_code, stored
 
 STEM = 5
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class Hasher(dict):
+    """Hashed terms of raw words: the word, and the first bytes of longer ones, which compounds share; a bounded memory."""
+
+    def __init__(self, bits: int, most: int = 500_000):
+        super().__init__()
+        self.mask, self.most = (1 << bits) - 1, most
+
+    def __missing__(self, raw: bytes) -> tuple[int, ...]:
+        w = raw.strip(STRIP)
+        terms = (zlib.crc32(w) & self.mask, *([zlib.crc32(b"^" + w[:STEM]) & self.mask] if len(w) > STEM else [])) if w else ()
+        self[raw] = terms
+        return terms
+
+    def terms(self, text: str | None) -> np.ndarray:
+        """Distinct hashed terms of a whole text, ascending."""
+        if len(self) > self.most:
+            self.clear()
+        found = {t for w in set((text or "").lower().encode().split()) for t in self[w]}
+        return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
+
+
 def hashed_terms(text: str | None, bits: int) -> np.ndarray:
-    """Distinct hashed terms, ascending: words, and the first bytes of longer ones, which compounds share."""
-    words = {w.strip(STRIP) for w in set((text or "").lower().encode().split())}
-    words.discard(b"")
-    words |= {b"^" + w[:STEM] for w in words if len(w) > STEM}
-    return np.unique(np.fromiter((zlib.crc32(w) & ((1 << bits) - 1) for w in words), dtype=np.int32, count=len(words)))
+    return Hasher(bits).terms(text)
 
 
 @dataclass
@@ -40,95 +62,155 @@ class FactorizationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def score(self, text: str | None) -> float:
-        if not len(self.w):
-            return _sigmoid(self.bias)
-        at = self.slot[hashed_terms(text, self.bits)]
-        at = at[at >= 0]
-        s = self.v[at].sum(axis=0)
-        return _sigmoid(self.bias + self.w[at].sum() + 0.5 * float((s * s).sum() - (self.v[at] ** 2).sum()))
-
-
-def _sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Of texts given by their hashed terms; all at once, by sums over their terms."""
+        if not rows:
+            return np.zeros(0)
+        flat, owner = self.slot[np.concatenate(rows)], np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat, owner = flat[flat >= 0], owner[flat >= 0]
+        z = self.bias + np.bincount(owner, self.w[flat], len(rows))
+        for f in range(self.v.shape[1]):
+            x = self.v[flat, f]
+            z += 0.5 * (np.bincount(owner, x, len(rows)) ** 2 - np.bincount(owner, x * x, len(rows)))
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, terms: int = 2048, factors: int = 4, rounds: int = 60, rate: float = 0.05, decay: float = 2e-4, least: float = 15.0, seed: int = 7) -> FactorizationMachine:
-    """Adam on the logistic loss over hashed term rows. Without both labels, the share of label 1 is the score."""
+    def score(self, text: str | None) -> float:
+        return float(self.scores([hashed_terms(text, self.bits)])[0])
+
+
+def _descent(rows: list[np.ndarray], y: np.ndarray, slot: np.ndarray, n_terms: int, factors: int, rounds: int, rate: float, decay: float, batch: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adagrad on the logistic loss; terms without a slot are left out."""
+    n, share, rng = len(y), float(y.mean()), np.random.default_rng(seed)
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, factors))
+    # Squared gradients start at 1, so that small, noisy ones move little.
+    seen_w, seen_v, seen_b = np.ones_like(w), np.ones_like(v), 1.0
+    shuffled, batches = rng.permutation(n), []
+    for lo in range(0, n, batch):
+        at = shuffled[lo : lo + batch]
+        flat, owner = slot[np.concatenate([rows[i] for i in at])], np.repeat(np.arange(len(at)), [len(rows[i]) for i in at])
+        terms, local = np.unique(flat[flat >= 0], return_inverse=True)
+        batches.append((y[at], terms, local, owner[flat >= 0]))
+    for _ in range(rounds):
+        for b in rng.permutation(len(batches)).tolist():
+            want, terms, local, owner = batches[b]
+            m, k, wt, vt = len(want), len(terms), w[terms], v[terms]
+            x = vt[local]
+            s = np.stack([np.bincount(owner, x[:, f], m) for f in range(factors)], axis=1)
+            z = bias + np.bincount(owner, wt[local], m) + 0.5 * ((s * s).sum(axis=1) - np.bincount(owner, (x * x).sum(axis=1), m))
+            g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - want
+            pull = g[owner]
+            gw = np.bincount(local, pull, k) + decay * wt
+            gv = np.stack([np.bincount(local, pull * (s[owner, f] - x[:, f]), k) for f in range(factors)], axis=1) + decay * vt
+            seen_w[terms] += gw * gw
+            seen_v[terms] += gv * gv
+            seen_b += g.sum() ** 2
+            w[terms] -= rate * gw / np.sqrt(seen_w[terms])
+            v[terms] -= rate * gv / np.sqrt(seen_v[terms])
+            bias -= rate * float(g.sum() / np.sqrt(seen_b))
+    return bias, w, v
+
+
+def _tied(hit: np.ndarray, seen: np.ndarray, share: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Chi-squared of finding hit positives in seen of among rows whose share of positives is share."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = (hit - seen * share) ** 2 / (seen * share * (1 - share)) / (1 - seen / among)
+    return np.where((seen >= 5) & (seen < among) & (share > 0) & (share < 1), chi, 0.0)
+
+
+def told_terms(rows: list[np.ndarray], y: np.ndarray, bits: int, weight: np.ndarray, least: float, least_pair: float, tested: int) -> np.ndarray:
+    """Terms tied to the label alone, and terms of pairs of which one is tied to it among the rows
+    that have the other. Pairs are made of the `tested` terms of most weight. Rows that agree in
+    everything count once here."""
+    first = list({(r.tobytes(), float(l)): i for i, (r, l) in enumerate(zip(rows, y, strict=True))}.values())
+    rows, y = [rows[i] for i in first], y[first]
+    n, flat, owner = len(y), np.concatenate(rows), np.repeat(np.arange(len(y)), [len(r) for r in rows])
+    df, hit = np.bincount(flat, minlength=1 << bits).astype(float), np.bincount(flat, weights=y[owner], minlength=1 << bits)
+    alone = _tied(hit, df, np.float64(y.mean()), np.float64(n)) >= least
+    some = np.sort(np.argsort(-weight * np.sqrt(df), kind="stable")[:tested])
+    some = some[(df[some] >= 5) & (weight[some] > 0)]
+    at = np.full(1 << bits, -1, dtype=np.int32)
+    at[some] = np.arange(len(some))
+    both, positive = np.zeros((len(some), len(some)), dtype=np.float32), np.zeros((len(some), len(some)), dtype=np.float32)
+    for lo in range(0, n, 2048):  # a dense piece of the rows at a time
+        part = (owner >= lo) & (owner < lo + 2048) & (at[flat] >= 0)
+        x = np.zeros((min(2048, n - lo), len(some)), dtype=np.float32)
+        x[owner[part] - lo, at[flat[part]]] = 1
+        both += x.T @ x
+        positive += x.T @ (x * y[lo : lo + 2048, None].astype(np.float32))
+    among = df[some][:, None]
+    pair = _tied(positive.astype(float), both.astype(float), hit[some][:, None] / among, among) >= least_pair
+    paired = some[pair.any(axis=0) | pair.any(axis=1)]
+    return np.union1d(np.flatnonzero(alone), paired)
+
+
+def fit(
+    rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, factors: int = 4, rounds: int = 25, rate: float = 0.1, decay: float = 1e-2, least: float = 15.0, least_pair: float = 40.0,
+    rare: int = 10, tested: int = 2000, batch: int = 256, seed: int = 7,
+) -> FactorizationMachine:
+    """A machine of hashed term rows. Without both labels, the share of label 1 is the score."""
     slot, y = np.full(1 << bits, -1, dtype=np.int32), labels.astype(np.float64)
     n, share = len(y), float(y.mean()) if len(y) else 0.0
-    bias = float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
-    empty = FactorizationMachine(bits, bias, slot, np.zeros(0), np.zeros((0, factors)))
+    none = FactorizationMachine(bits, float(np.log(max(share, 1e-4) / max(1 - share, 1e-4))), slot, np.zeros(0), np.zeros((0, factors)))
     if n == 0 or share in (0.0, 1.0):
-        return empty
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=1 << bits).astype(np.float64)
-    hit = np.bincount(flat, weights=y[owner], minlength=1 << bits)
-    want = df * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((df >= 5) & (df < n), (hit - want) ** 2 / (want * (1 - share)) / (1 - df / n), 0.0)
-    picked = np.argsort(-chi, kind="stable")[:terms]
-    picked = picked[chi[picked] >= least]
+        return none
+    every = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=1 << bits) >= rare)
+    slot[every] = np.arange(len(every))
+    _, w, v = _descent(rows, y, slot, len(every), factors, 8, rate, 30 * decay, batch, seed)
+    weight = np.zeros(1 << bits)
+    weight[every] = np.abs(w) + np.sqrt((v * v).sum(axis=1))
+    picked = told_terms(rows, y, bits, weight, least, least_pair, tested)
     if not len(picked):
-        return empty
+        return none
+    slot[:] = -1
     slot[picked] = np.arange(len(picked))
-    keep = slot[flat] >= 0
-    cols, owner = slot[flat][keep], owner[keep]
-    rng, k = np.random.default_rng(seed), len(picked)
-    w, v = np.zeros(k), rng.normal(0, 0.02, (k, factors))
-    state = [np.zeros_like(x) for x in (w, w, v, v)] + [0.0, 0.0]
-    for step in range(1, rounds * 5 + 1):
-        s = np.stack([np.bincount(owner, v[cols, f], n) for f in range(factors)], axis=1)
-        q = np.bincount(owner, (v[cols] ** 2).sum(axis=1), n)
-        z = bias + np.bincount(owner, w[cols], n) + 0.5 * ((s * s).sum(axis=1) - q)
-        g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        gw = np.bincount(cols, g[owner], k) / n + decay * w
-        pull = g[owner][:, None] * (s[owner] - v[cols])
-        gv = np.stack([np.bincount(cols, pull[:, f], k) for f in range(factors)], axis=1) / n + decay * v
-        gb = float(g.mean())
-        for x, grad, a, b in ((w, gw, 0, 1), (v, gv, 2, 3)):
-            state[a] = 0.9 * state[a] + 0.1 * grad
-            state[b] = 0.999 * state[b] + 0.001 * grad * grad
-            x -= rate * (state[a] / (1 - 0.9**step)) / (np.sqrt(state[b] / (1 - 0.999**step)) + 1e-8)
-        state[4], state[5] = 0.9 * state[4] + 0.1 * gb, 0.999 * state[5] + 0.001 * gb * gb
-        bias -= rate * (state[4] / (1 - 0.9**step)) / (np.sqrt(state[5] / (1 - 0.999**step)) + 1e-8)
+    bias, w, v = _descent(rows, y, slot, len(picked), factors, rounds, rate, decay, batch, seed)
     return FactorizationMachine(bits, bias, slot, w, v)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 15_000, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic"):
-    """Hashed terms and labels of at most about `most` labelled documents outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = 15_000, most_bytes: int = 64 << 20, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic"):
+    """Hashed terms and labels of a sample of labelled documents outside the held-out fold.
 
     Held out are ids whose crc32 as text is 0 mod folds. Rows with a null id or label are left out;
-    several labels of an id count as their largest. Above `most`, the ids of least hash are taken.
+    several labels of an id count as their largest; documents of one id count each, equal ones once.
+    The sample has about `most` rows and `most_bytes` bytes of terms at most: above either, the rows of
+    least hash are taken. Only this sample reaches the driver.
     """
-    share_code(docs.sparkSession)
+    spark = docs.sparkSession
+    share_code(spark)
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     named = named.where(crc32_of_id(F.col("doc_id")) % folds != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     count = named.count()
     if count > most:
         named = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * most / count))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # The sample is bounded by `most`, so the texts need not be shuffled to meet it.
+    # The labels were cut to about `most`, so the texts need not be shuffled to meet them.
     rows = rows.join(F.broadcast(named), "doc_id").select("doc_id", "y", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
         for b in batches:
-            data = [hashed_terms(x, bits).tobytes() for x in b.column(2).to_pylist()]
+            data = [hasher.terms(x).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["doc_id", "y", "terms"])
 
-    got = sorted(rows.mapInArrow(terms, "doc_id long, y int, terms binary").collect())
+    found = stored(rows.mapInArrow(terms, "doc_id long, y int, terms binary").distinct(), scratch(spark))
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("terms")), F.lit(0))).first()
+    part = min(1.0, most / max(n, 1), most_bytes / max(size, 1))
+    if part < 1:
+        found = found.where(F.pmod(F.xxhash64("terms", "doc_id"), F.lit(1 << 40)) < int((1 << 40) * part))
+    got = sorted(found.collect())
     return [np.frombuffer(r["terms"], dtype=np.int32) for r in got], np.array([r["y"] > 0 for r in got], dtype=np.int8)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 15_000, bits: int = 18, **options) -> FactorizationMachine:
-    return fit(*training_rows(docs, labels, most, bits), bits=bits, **options)
+    return fit(*training_rows(docs, labels, most, bits=bits), bits=bits, **options)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.5); one row for each input row.
 
-    Null and empty texts get the score of no terms. Ids are carried as they are, null or repeated; a
-    null id isn't held out. Other columns are not read.
+    Texts are read whole. Null and empty texts get the score of no terms. Ids are carried as they
+    are, null or repeated; a null id isn't held out. Other columns are not read. An empty table gives
+    an empty one.
     """
     spark = docs.sparkSession
     share_code(spark)
@@ -136,11 +218,10 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        hasher = Hasher(m.bits)
         for b in batches:
-            p = [m.score(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], names=["doc_id", "held_out", "score", "predicted"]
-            )
+            p = m.scores([hasher.terms(x) for x in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("doc_id"), (key.isNotNull() & (crc32_of_id(key) % folds == 0)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -148,7 +229,11 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
-    """docs whose score is below 0.5, with their own columns; texts don't leave their tasks."""
+    """docs whose score is below 0.5, with their own columns; texts don't leave their tasks.
+
+    Null and empty texts have the score of no terms; rows are judged each, whatever their ids. An
+    empty table gives an empty one.
+    """
     spark = docs.sparkSession
     share_code(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -156,7 +241,8 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str =
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        hasher = Hasher(m.bits)
         for b in batches:
-            yield b.filter(pa.array([m.score(x) < 0.5 for x in b.column(place).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(m.scores([hasher.terms(x) for x in b.column(place).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(kept, docs.schema)
