@@ -13,7 +13,7 @@ EXCLUDED_SEGMENTS = (
     "legal", "legal-notice", "privacy", "terms", "cookies", "imprint", "impressum", "gdpr", "dmca", "eula", "mentions-legales", "conduct", "code-of-conduct", "coc",
     "assets", "brand", "media-kit", "press", "download", "downloads", "dl",
 )
-SESSION_VERB = r"(?i)/sessions?/(new|create|edit|update|destroy|end|logout|renew|refresh)(/|$|\?)"
+SESSION_VERB = r"(?i)/session(?:s)?/(?:new|create|edit|update|destroy|end|logout|renew|refresh)(?:/|$|\?)"
 WIKI_ADMIN = (
     r"(?i)/wiki/(Template|Category|Help|Wikipedia|File|MediaWiki|Portal|Book|Draft|TimedText|Module|Special|User|User_talk|Talk|"
     r"Wikipedia_talk|Template_talk|Category_talk|File_talk|MediaWiki_talk|Portal_talk|Book_talk|Draft_talk|Module_talk)(:|%3A)"

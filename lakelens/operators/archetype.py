@@ -7,10 +7,13 @@ texts are counted page by page and paths by distinct rows, so no site's text is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from . import vocabulary
 from .sampling import virtual_inventory
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -134,8 +137,8 @@ def path_facts(inventory: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def _rules() -> list[tuple[str, Column, Column]]:
-    """(kind, condition, weight): every rule that holds adds its weight."""
+def _rules() -> tuple[list[tuple[str, Column, Column]], list[tuple[str, Column, Column]]]:
+    """(kind, condition, weight) of evidence, and of what speaks against it: every rule that holds adds its weight."""
     c, lit = F.col, F.lit
     one = lambda *cases: F.coalesce(*[F.when(on, lit(float(w)) if not isinstance(w, Column) else w.cast("double")) for on, w in cases], lit(0.0))  # noqa: E731  the first that holds
     share = lambda n: F.when(c("total") > 0, n / c("total")).otherwise(lit(0.0))
@@ -172,6 +175,7 @@ def _rules() -> list[tuple[str, Column, Column]]:
         ("ecommerce", c("offer"), one((shop, 2), (yes, 1))), ("news_editorial", (c("article_typed") >= 3) & (c("dated") >= 2), 2 * backed(share(c("article")))),
         ("documentation", (c("n_content") >= 3) & (2 * c("doc_titled") >= c("n_content")), 3 * F.greatest(backed(share(docs)), one((all_docs, 0.75)))),
         ("local_business", c("address") & (c("total") <= 15) & ~org, lit(1.5)), ("news_editorial", c("editorial") & (c("article") >= 3), lit(0.5)),
+    ], [
         ("news_editorial", commerce, lit(-2.0)), ("saas_marketing", commerce, lit(-2.0)), ("personal", commerce, lit(-2.0)),
         ("news_editorial", saas, lit(-2.0)), ("documentation", saas & (share(docs) < 0.4), lit(-1.5)), ("personal", saas, lit(-2.0)),
         ("news_editorial", inst, lit(-2.0)), ("saas_marketing", inst, lit(-1.0)), ("personal", inst, lit(-3.0)), ("news_editorial", c("person") & ~org, lit(-3.0)), ("personal", c("news_org"), lit(-4.0)),
@@ -195,19 +199,37 @@ def decide(scores: Column, least: float = 3.0, lead: float = 1.0) -> Column:
     return F.struct(F.when(sure, top["kind"]).otherwise("unknown").alias("archetype"), F.when(sure, confidence).otherwise(0.0).alias("confidence"), top["score"].alias("best"))
 
 
-def archetypes(pages: DataFrame, inventory: DataFrame) -> DataFrame:
+def archetypes(
+    pages: DataFrame, inventory: DataFrame, heads: DataFrame | None = None, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, words: bool = True
+) -> DataFrame:
     """site, archetype, confidence, scheme, canonical_host; one row for each site with a page.
 
     pages are typed() ones, inventory is (site, ord, url, page_type). Sites behind a bot wall are
-    unknown; a few pages without any evidence are a brochure.
+    unknown; a few pages without any evidence are a brochure. heads (site, t), robots (site, body) and
+    sitemaps (site, url) are hints that may be missing. words=False leaves the vocabulary out.
     """
     c = F.col
     pages = pages.withColumn("host", F.split_part(urls.host(c("url")), F.lit(":"), F.lit(1)))
     facts = page_facts(pages).join(path_facts(inventory, pages), "site", "left")
+    zero = {k: F.lit(0.0) for k in KINDS}
+    if sitemaps is not None:
+        points = vocabulary.sitemap_hints(sitemaps).groupBy("site").pivot("kind", list(KINDS)).agg(F.first("points"))
+        facts = facts.join(points.select("site", *[F.coalesce(c(k), F.lit(0.0)).alias(f"hint_{k}") for k in KINDS]), "site", "left")
+        zero = {k: F.coalesce(f"hint_{k}", F.lit(0.0)) for k in KINDS}
+    if words:
+        seen = pages.where("not wall")
+        basis = virtual_inventory(inventory, seen).where("page_type <> 'asset'").select("site", "r", F.coalesce(F.nullif(urls.path(c("url")), F.lit("")), F.lit("/")).alias("path"))
+        said = vocabulary.leading(vocabulary.scores(seen, basis, heads, robots, sitemaps))
+        facts = facts.join(said.select("site", c("kind").alias("said_kind"), "words"), "site", "left")
     facts = facts.fillna(0, [n for n, t in facts.dtypes if t in ("bigint", "int")])
-    totals = {k: F.lit(0.0) for k in KINDS}
-    for kind, holds, weight in _rules():
-        totals[kind] = totals[kind] + F.when(F.coalesce(holds, F.lit(False)), F.coalesce(weight, F.lit(0.0))).otherwise(0.0)
+    evidence, counter = _rules()
+    added = lambda rules, totals: reduce(lambda t, r: t | {r[0]: t[r[0]] + F.when(F.coalesce(r[1], F.lit(False)), F.coalesce(r[2], F.lit(0.0))).otherwise(0.0)}, rules, totals)
+    facts = facts.select("*", *[x.alias(f"for_{k}") for k, x in added(evidence, zero).items()])
+    totals = {k: c(f"for_{k}") for k in KINDS}
+    if words:  # words alone don't tell whether a site is an institution or sells software
+        counts = {k: (c("said_kind") == k) & ((c(f"for_{k}") > 0) if k in ("institutional", "saas_marketing") else F.lit(True)) for k in KINDS}
+        totals = {k: totals[k] + F.when(counts[k], c("words")).otherwise(0.0) for k in KINDS}
+    totals = added(counter, totals)
     scored = facts.withColumn("scores", F.array(*[F.struct(totals[k].alias("score"), F.lit(i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]))
     scored = scored.withColumn("d", decide(c("scores")))
     documents = F.greatest(F.lit(0), c("documentation") - c("wiki"))

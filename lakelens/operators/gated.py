@@ -22,31 +22,44 @@ ARTICLES = ("article", "blogposting", "newsarticle", "report", "analysisnewsarti
 LEGAL_SUFFIXES = r"\b(ltd|limited|llc|inc|incorporated|corp|corporation|gmbh)\b"
 HOST_PARTS = ("www", "com", "org", "net", "co", "io", "dev", "app", "blog", "docs", "shop")
 CATEGORY = (
-    r"(?i)\b(agency|application|app|author|blog|business|community|company|consultant|corporation|developer|designer|engineer|engine|foundation|framework|"
-    r"institute|institution|journalist|library|magazine|manufacturer|marketplace|network|newspaper|nonprofit|non-profit|organisation|organization|platform|"
-    r"project|provider|publication|publisher|researcher|restaurant|retailer|school|service|shop|site|software|store|studio|tool|university|website)\b"
+    r"(?i)\b(?:agency|application|app|author|blog|business|community|company|consultant|"
+    r"corporation|developer|designer|engineer|engine|foundation|framework|institute|"
+    r"institution|journalist|library|magazine|manufacturer|marketplace|network|newspaper|"
+    r"nonprofit|non-profit|organisation|organization|platform|project|provider|publication|"
+    r"publisher|researcher|restaurant|retailer|school|service|shop|site|software|store|"
+    r"studio|tool|university|website)\b"
 )
 FUNCTION = (
-    r"(?i)\b(allow(s|ed|ing)?|build(s|ing)?|connect(s|ed|ing)?|creat(e|es|ed|ing)|deliver(s|ed|ing)?|develop(s|ed|ing)?|enable(s|d|ing)?|focus(es|ed|ing)?|"
-    r"help(s|ed|ing)?|host(s|ed|ing)?|inform(s|ed|ing)?|maintain(s|ed|ing)?|make(s|made|making)?|offer(s|ed|ing)?|operat(e|es|ed|ing)|organis(e|es|ed|ing)|"
-    r"organiz(e|es|ed|ing)|power(s|ed|ing)?|provid(e|es|ed|ing)|publish(es|ed|ing)?|report(s|ed|ing)?|search(es|ed|ing)?|sell(s|ing)?|serv(e|es|ed|ing)|"
-    r"speciali[sz](e|es|ed|ing)|support(s|ed|ing)?|teach(es|ing)?|lets?)\b"
+    r"(?i)\b(?:allow(?:s|ed|ing)?|build(?:s|ing)?|connect(?:s|ed|ing)?|creat(?:e|es|ed|ing)|"
+    r"deliver(?:s|ed|ing)?|develop(?:s|ed|ing)?|enable(?:s|d|ing)?|focus(?:es|ed|ing)?|"
+    r"help(?:s|ed|ing)?|host(?:s|ed|ing)?|inform(?:s|ed|ing)?|maintain(?:s|ed|ing)?|"
+    r"make(?:s|made|making)?|offer(?:s|ed|ing)?|operat(?:e|es|ed|ing)|organis(?:e|es|ed|ing)|"
+    r"organiz(?:e|es|ed|ing)|power(?:s|ed|ing)?|provid(?:e|es|ed|ing)|publish(?:es|ed|ing)?|"
+    r"report(?:s|ed|ing)?|search(?:es|ed|ing)?|sell(?:s|ing)?|serv(?:e|es|ed|ing)|"
+    r"speciali[sz](?:e|es|ed|ing)|support(?:s|ed|ing)?|teach(?:es|ing)?|lets?)\b"
 )
 TITLE_PARTS = r"\s*(?:\||—|–|:|\s+-\s+)\s*"
-PROFILE_PREFIX = {"linkedin.com": r"^/(in|company|school|pub)/.", "mastodon.social": r"^/@.", "wikipedia.org": r"/wiki/", "youtube.com": r"^(/@[^/]+/?|/(channel|c|user)/[^/]+.*)$"}
+#: Account pages by host: patterns of the path, and hosts with one segment that isn't reserved and no query.
+PROFILE_PATH = {
+    "linkedin.com": r"^/(in|company|school|pub)/.", "www.linkedin.com": r"^/(in|company|school|pub)/.", "mastodon.social": r"^/@.", "wikipedia.org": r"/wiki/", "en.wikipedia.org": r"/wiki/",
+    "youtube.com": r"^(/@[^/]+/?|/(channel|c|user)/[^/]+.*)$", "www.youtube.com": r"^(/@[^/]+/?|/(channel|c|user)/[^/]+.*)$",
+}
 PROFILE_RESERVED = {
     "github.com": "about pricing features topics issues pulls marketplace explore notifications login join search settings enterprise sponsors codespaces security organizations",
+    "www.github.com": "about pricing features topics issues pulls marketplace explore notifications login join search settings",
     "twitter.com": "home explore notifications messages search login signup i intent share compose tos privacy about",
     "x.com": "home explore notifications messages search login signup i intent share compose tos privacy about",
     "instagram.com": "explore reels stories tv p accounts direct about",
+    "www.instagram.com": "explore reels stories tv p accounts direct about",
     "facebook.com": "share sharer dialog tr help login watch reel story.php events marketplace gaming messages notifications settings business",
+    "www.facebook.com": "share sharer dialog tr help login watch reel story.php events marketplace gaming messages notifications settings business",
 }
 LISTING_PATH = r"(?i)/(jobs?|events?|listings?|hackathons?|competitions?|challenges?|marketplace|browse)(/|$)"
 ARCHIVE = r"(?i)\b(code repository|source code|software archive|dataset|data catalogue|data catalog|open data|code archive)\b|/(datasets?|data-catalog|repositories|source)(/|$)"
 TEMPORAL = r"(?i)\b(announced|released|launched|updated|published|last week|yesterday|this (week|month|quarter)|in Q[1-4]|recently)\b"
 YEAR_IN_URL = r"/(19|20)\d{2}([/-]|\b)"
 # ------------------------------------------------------------------------------------------------
-SITE_SEQ, TRADE_SEQ = 4 << 40, 5 << 40
+SITE_SEQ, TRADE_SEQ, ANCHOR_SEQ = 4 << 40, 5 << 40, (4 << 40) + 50
 
 
 def _of(entities: Column, types) -> Column:
@@ -83,15 +96,37 @@ def normal_name(name: Column) -> Column:
 
 def is_profile(url: Column) -> Column:
     """Whether a URL has the shape of an account's page on a known host."""
-    host, path = F.regexp_replace(urls.host(url), r"^(www|en)\.", ""), urls.path(url)
-    full, parts = urls.host(url), urls.segments(url)
-    known = F.when(full.startswith("en."), host == "wikipedia.org").when(full.startswith("www."), ~host.isin("x.com", "twitter.com", "wikipedia.org", "mastodon.social")).otherwise(True)
-    out = F.lit(False)
-    for h, pattern in PROFILE_PREFIX.items():
-        out = F.when(host == h, path.rlike(pattern)).otherwise(out)
-    for h, reserved in PROFILE_RESERVED.items():
-        out = F.when(host == h, (F.size(parts) == 1) & ~F.get(parts, F.lit(0)).isin(*reserved.split()) & (urls.query(url) == "")).otherwise(out)
-    return F.coalesce(known & out, F.lit(False))
+    host, path, parts = urls.host(url), urls.path(url), urls.segments(url)
+    pairs = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    shape, reserved = F.try_element_at(pairs(PROFILE_PATH), host), F.split(F.try_element_at(pairs(PROFILE_RESERVED), host), " ")
+    account = (F.size(parts) == 1) & ~F.array_contains(reserved, F.get(parts, F.lit(0))) & (urls.query(url) == "")
+    return F.coalesce(F.when(shape.isNotNull(), F.regexp_like(path, shape)).when(reserved.isNotNull(), account), F.lit(False))
+
+
+def anchor_urls(pages: DataFrame) -> DataFrame:
+    """(site, url): distinct addresses that the identity pages of a site declare as its own elsewhere."""
+    read = identity_pages(pages).where("extraction_ok")
+    same = F.flatten(F.transform(_of(F.col("json_ld"), ORGANISATIONS), lambda e: F.transform(_members(e["raw"], "sameAs"), lambda v: F.trim(v.try_cast("string")))))
+    shaped = F.transform(F.filter("links", lambda x: ~x["internal"] & is_profile(x["href"])), lambda x: x["href"])
+    every = read.select("site", F.explode(F.concat(F.coalesce("profile_links", F.array().cast("array<string>")), F.coalesce(same, F.array().cast("array<string>")), shaped)).alias("url"))
+    return every.where(F.col("url").startswith("http")).distinct()
+
+
+def anchor_envelopes(pages: DataFrame, sites: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Envelopes of declared identity addresses that don't resolve (D-026), a row for each site.
+
+    resolved is sections.anchors(); only addresses that the identity pages declare are judged.
+    """
+    c = F.col
+    meant = resolved.join(anchor_urls(pages), ["site", "url"], "left_semi")
+    per = meant.groupBy("site").agg(F.count("*").alias("n"), F.count("resolved").alias("told"), F.count_if(~c("resolved")).alias("bad"))
+    surfaces = identity_pages(pages).groupBy("site").agg(F.bool_or("extraction_ok").alias("any_read"))
+    df = sites.join(per, "site", "left").join(surfaces, "site", "left").withColumn("url", F.lit(None).cast("string"))
+    exempt = F.coalesce(c("archetype"), F.lit("unknown")).isin(*PERSONAL)
+    state = F.when(exempt, "not_applicable").when(~F.coalesce("any_read", F.lit(False)) | (F.coalesce("told", F.lit(0)) == 0), "not_determinable").when(c("bad") > 0, "present").otherwise("absent")
+    severity = F.when(state == "present", F.when(c("bad") == c("told"), "high").otherwise("medium"))
+    said = F.concat(c("bad").cast("string"), F.lit(" of "), c("n").cast("string"), F.lit(" declared addresses did not resolve"))
+    return _exploded(df, F.lit(ANCHOR_SEQ), [_row("CHK-D-026", state, severity, "HARD-MECHANICAL", False, "anchors_unresolved", F.coalesce("bad", F.lit(0)), said)])
 
 
 def signal_score(text: Column, names: Column) -> Column:
@@ -219,8 +254,8 @@ def date_envelopes(pages: DataFrame) -> DataFrame:
         (c("page_type").isin("article", "documentation", "faq") & c("url").rlike(YEAR_IN_URL)).cast("int") + (c("published").isNotNull() | visible).cast("int")
         + (F.regexp_count(F.substring("main_text", 1, 1200), F.lit(TEMPORAL)) >= 3).cast("int")
     ) >= 2
-    marked = F.exists("json_ld", lambda x: x["raw"].rlike(r'"date(Published|Modified)"\s*:\s*"[^"]'))
-    dated = c("published").isNotNull() | visible | F.coalesce(marked, F.lit(False)) | urls.url_date(c("url")).isNotNull()
+    said = lambda name: F.coalesce(c(name), F.lit("")) != ""
+    dated = said("header_last_modified") | said("published") | said("jsonld_published") | said("jsonld_modified") | visible | urls.url_date(c("url")).isNotNull()
     state = F.when(~c("extraction_ok"), "not_determinable").when(dated, "absent").otherwise("present")
     rows = [F.when(~c("extraction_ok") | timely, _row("CHK-D-012", state, F.when(state == "present", "low"), "THEORETICAL", False, "undated"))]
     return _exploded(pages, c("ord").cast("long") * 100 + 80, rows)

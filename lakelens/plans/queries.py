@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import geometry, text, urls
-from ..operators import archetype, checks, gated, html, rendered, report, robots, sampling, sections
-from ..sources.tables import raw_pages
+from ..operators import archetype, audit, checks, gated, html, rendered, report, robots, sampling, sections
+from ..sources.tables import raw_pages, spread, stored
+
+#: The time of the audits registered here, so that reruns agree.
+AUDITED_AT = "2025-01-01T00:00:00Z"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,39 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 
 def _extracted(spark, sf_dir) -> DataFrame:
-    """Parsing dominates, so small files are spread over all cores first."""
-    raw = raw_pages(_pages(spark, sf_dir))
-    return html.extract_pages(raw.repartition(spark.sparkContext.defaultParallelism, "page_id"))
+    """Extracted pages, parsed as they are read; a query that reads them once needs no more."""
+    return html.extract_pages(raw_pages(spread(_pages(spark, sf_dir))))
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    """Typed pages, parsed once and stored: every later reader takes only the columns that it needs."""
+    return checks.typed(stored(_extracted(spark, sf_dir)))
+
+
+def _heads(spark, sf_dir) -> DataFrame:
+    return raw_pages(_pages(spark, sf_dir)).select("site", F.substring("html", 1, html.HEAD).alias("t"))
+
+
+def _evidence(spark, sf_dir) -> audit.Evidence:
+    """The fixture is pages alone."""
+    return audit.gather(checks.typed(_extracted(spark, sf_dir)), heads=_heads(spark, sf_dir))
+
+
+def _audited(spark, sf_dir) -> tuple[audit.Evidence, DataFrame]:
+    found = _evidence(spark, sf_dir)
+    return found, audit.audit(found)
+
+
+def _strengths(spark, pages: DataFrame) -> DataFrame:
+    """The fixture has neither robots nor sitemaps."""
+    access = spark.createDataFrame([], "site string, agent string, class string, allowed_root boolean")
+    sitemaps = spark.createDataFrame([], "site string, page_type string, lastmod timestamp")
+    return report.strengths(pages.where("extraction_ok"), access, sitemaps, report.evidence_date(F.lit(AUDITED_AT)))
+
+
+def _composed(spark, sf_dir) -> dict[str, DataFrame]:
+    found, envelopes = _audited(spark, sf_dir)
+    return audit.compose(found, envelopes, _strengths(spark, found.pages))
 
 
 def _sql_list(values) -> str:
@@ -180,31 +210,55 @@ def evidence_density(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.has_evidence(F.col("text")).alias("evidence"))
 
 
-def _rendered_envelopes(spark, pages: DataFrame) -> list[DataFrame]:
-    """The fixture has no renderings, so what static HTML tells."""
-    none = spark.createDataFrame([], rendered.RENDERED)
-    return [rendered.home_envelopes(pages, none), rendered.page_envelopes(pages, none), rendered.rendering_envelopes(none)]
+@query()
+def page_check_envelopes(spark, sf_dir):
+    return checks.page_envelopes(checks.typed(_extracted(spark, sf_dir)))
 
 
-def _envelopes(spark, sf_dir) -> DataFrame:
-    """All that the reports are made of; pages and envelopes are made once and kept on disk, as they are read many times."""
-    pages = _typed(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
-    sites = _sites(pages)
-    parts = [
-        checks.page_envelopes(pages), checks.site_envelopes(pages), gated.identity_envelopes(pages, sites), gated.trade_envelopes(pages, sites), gated.date_envelopes(pages),
-        *_rendered_envelopes(spark, pages),
-    ]
-    return reduce(DataFrame.unionByName, parts).persist(StorageLevel.DISK_ONLY)
+_STATIC = ("CHK-D-004", "CHK-D-005", "CHK-D-008", "CHK-E-014", "CHK-E-015", "CHK-E-017", "CHK-E-020", "CHK-E-022")
+_LEVELS = "list_transform(regexp_extract_all(html, '<h([1-6])[ >]', 1), lambda x: CAST(x AS INTEGER))"
+
+
+def _static_sql() -> str:
+    """The checks of static markup by regular expressions over the raw pages, without any parse."""
+    alone = f"len(segs) = 1 AND (regexp_matches(segs[1], {_quoted(urls.VERSION_SEGMENT)}) OR regexp_matches(segs[1], {_quoted(urls.LOCALE_SEGMENT)}))"
+    texts = "list_transform(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), lambda t: lower(trim(t)))"
+    states = {
+        "CHK-D-004": ("CASE WHEN unread OR script THEN 'not_determinable' WHEN words < 200 THEN 'present' ELSE 'absent' END", f"NOT (page_type IN ({_sql_list(checks.NON_INFORMATIONAL)}) OR regexp_matches(url, {_quoted(checks.FORM_URL)}) OR ({alone}))"),
+        "CHK-D-005": ("CASE WHEN unread THEN 'not_determinable' WHEN regexp_matches(html, '<h[23][ >]') THEN 'absent' ELSE 'present' END", "words > 500 AND page_type NOT IN ('legal', 'faq')"),
+        "CHK-D-008": ("CASE WHEN unread THEN 'not_determinable' WHEN regexp_matches(html, '<link[^>]*rel=\"canonical\"') THEN 'absent' ELSE 'present' END", "TRUE"),
+        "CHK-E-014": ("CASE WHEN unread THEN 'not_determinable' WHEN NOT regexp_matches(html, '<html[^>]* lang=') OR regexp_matches(html, '<(img|input|button)[ >]') THEN 'present' ELSE 'absent' END", "TRUE"),
+        "CHK-E-015": ("CASE WHEN unread THEN 'not_determinable' WHEN regexp_matches(html, '<meta[^>]*name=\"viewport\"') AND NOT regexp_matches(lower(html), 'user-scalable=(no|0)') THEN 'absent' ELSE 'present' END", "TRUE"),
+        "CHK-E-017": (f"CASE WHEN unread THEN 'not_determinable' WHEN len(texts) > 0 AND round_even(100.0 * len(list_filter(texts, lambda t: t IN ({_sql_list(checks.VAGUE_LINKS)}))) / len(texts), 0) > 10 THEN 'present' ELSE 'absent' END", "TRUE"),
+        "CHK-E-020": ("CASE WHEN unread THEN 'not_determinable' WHEN regexp_matches(html, '<(video|audio)[^>]* autoplay=') THEN 'present' ELSE 'absent' END", "TRUE"),
+        "CHK-E-022": ("CASE WHEN unread THEN 'not_determinable' WHEN NOT list_contains(levels, 1) OR NOT regexp_matches(html, '<main[ >]') OR len(list_filter(range(1, len(levels)), lambda i: levels[i + 1] - levels[i] > 1)) > 0 THEN 'present' ELSE 'absent' END", "TRUE"),
+    }
+    facts = f"""{_MAIN}, t AS ({_page_type_sql()}),
+x AS (SELECT p.page_id, p.html, p.url, w.words, words < 20 AND bytes > 5000 AS unread, words < 50 AND bytes > 100000 AS script, t.page_type, {texts} AS texts, {_LEVELS} AS levels,
+list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS segs FROM pages p JOIN w ON p.page_id = w.page_id JOIN t ON p.page_id = t.page_id)"""
+    return facts.replace("WITH t AS", "WITH b AS").replace("FROM t)", "FROM b)") + " UNION ALL ".join(f" SELECT page_id, '{k}' AS check_id, {state} AS state FROM x WHERE {where}" for k, (state, where) in states.items())
+
+
+@query(_static_sql())
+def static_check_states(spark, sf_dir):
+    found = checks.page_envelopes(checks.typed(_extracted(spark, sf_dir))).where(F.col("check_id").isin(*_STATIC))
+    return found.select(F.floor(F.col("seq") / 100).cast("long").alias("page_id"), "check_id", "state")
+
+
+@query(f"SELECT {_HOST} AS site, 'CHK-E-021' AS check_id, CASE WHEN sum(len(regexp_extract_all(html, '<(img|iframe)[ >]'))) >= 3 THEN 'present' ELSE 'absent' END AS state FROM pages GROUP BY 1")
+def layout_shift_states(spark, sf_dir):
+    return checks.site_envelopes(_typed(spark, sf_dir)).select("site", "check_id", "state")
 
 
 @query()
-def page_check_envelopes(spark, sf_dir):
-    return checks.page_envelopes(_typed(spark, sf_dir))
+def audit_envelopes(spark, sf_dir):
+    """Every envelope of every site."""
+    return audit.audit(_evidence(spark, sf_dir))
 
 
 @query()
 def envelope_state_counts(spark, sf_dir):
-    return _envelopes(spark, sf_dir).groupBy("check_id", "state").agg(F.count("*").alias("n"))
+    return audit.audit(_evidence(spark, sf_dir)).groupBy("check_id", "state").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -217,45 +271,92 @@ def page_structure(spark, sf_dir):
 
 @query()
 def layout_shift_by_site(spark, sf_dir):
-    return checks.site_envelopes(_extracted(spark, sf_dir))
+    return checks.site_envelopes(_typed(spark, sf_dir))
 
 
 @query()
 def near_duplicate_pages(spark, sf_dir):
-    return checks.near_duplicate_pages(checks.typed(_extracted(spark, sf_dir)))
+    return checks.near_duplicate_pages(_typed(spark, sf_dir))
+
+
+@query()
+def duplicate_check_envelopes(spark, sf_dir):
+    return checks.duplicate_envelopes(_typed(spark, sf_dir))
+
+
+@query()
+def link_check_envelopes(spark, sf_dir):
+    """No link of the fixture was followed, so no site can be judged."""
+    found = _evidence(spark, sf_dir)
+    return audit.ANALYSERS["links"](found)
+
+
+@query()
+def anchor_check_envelopes(spark, sf_dir):
+    return audit.ANALYSERS["anchors"](_evidence(spark, sf_dir))
+
+
+@query()
+def declared_anchor_urls(spark, sf_dir):
+    return gated.anchor_urls(_typed(spark, sf_dir))
+
+
+@query()
+def aliased_pages(spark, sf_dir):
+    return checks.aliases(_typed(spark, sf_dir))
 
 
 @query()
 def site_findings(spark, sf_dir):
-    return report.findings(report.roll_up(_envelopes(spark, sf_dir)))
+    return _composed(spark, sf_dir)["findings"]
+
+
+@query()
+def finding_instances(spark, sf_dir):
+    return _composed(spark, sf_dir)["instances"]
 
 
 @query()
 def site_recommendations(spark, sf_dir):
-    return report.recommendations(_envelopes(spark, sf_dir))
+    return _composed(spark, sf_dir)["recommendations"]
 
 
 @query()
 def summary_by_severity(spark, sf_dir):
-    return report.summary(report.findings(report.roll_up(_envelopes(spark, sf_dir))))
+    return _composed(spark, sf_dir)["summary"]
 
 
 @query()
 def checks_passed(spark, sf_dir):
-    return report.checks_passed(_envelopes(spark, sf_dir))
+    return _composed(spark, sf_dir)["checks_passed"]
 
 
 @query()
 def top_priorities(spark, sf_dir):
-    e = _envelopes(spark, sf_dir)
-    return report.top_priorities(report.findings(report.roll_up(e)), report.recommendations(e))
+    return _composed(spark, sf_dir)["top_priorities"]
 
 
 @query()
 def meta_warnings(spark, sf_dir):
-    e = _envelopes(spark, sf_dir)
-    found = report.findings(report.roll_up(e))
-    return report.warnings(found, report.summary(found), report.checks_passed(e), report.recommendations(e))
+    return _composed(spark, sf_dir)["warnings"]
+
+
+@query()
+def report_limitations(spark, sf_dir):
+    return _composed(spark, sf_dir)["limitations"]
+
+
+@query()
+def report_preambles(spark, sf_dir):
+    return _composed(spark, sf_dir)["preambles"]
+
+
+@query()
+def site_reports(spark, sf_dir):
+    """One nested report a site."""
+    found, envelopes = _audited(spark, sf_dir)
+    tables = audit.compose(found, envelopes, _strengths(spark, found.pages))
+    return audit.reports(found, tables)
 
 
 @query(_MAIN.replace("WITH t AS (SELECT page_id, html,", f"WITH t AS (SELECT page_id, {_HOST} AS site, html,").replace("c AS (SELECT page_id, html,", "c AS (SELECT page_id, site, html,").replace("w AS (SELECT page_id,", "w AS (SELECT site,") + """
@@ -321,84 +422,19 @@ def contrast_ratio(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), geometry.contrast(F.array("r", "g", "b"), F.array("r2", "g2", "b2")).alias("ratio"))
 
 
-@query("""
-WITH o AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM o)
-SELECT user_id, CAST(block AS BIGINT) AS block, min(event_type) AS event_type, count(*) AS n FROM b GROUP BY user_id, block""")
-def event_blocks(spark, sf_dir):
-    """Gaps and islands: runs of equal events of a user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    rows = rows.withColumn("opens", F.coalesce((F.lag("event_type").over(order) != F.col("event_type")).cast("int"), F.lit(1)))
-    rows = rows.withColumn("block", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("user_id", "block").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
-
-
-@query("""
-WITH n AS (SELECT c_mktsegment, count(*) AS n, sum(count(*)) OVER () AS total FROM customer GROUP BY 1),
-q AS (SELECT c_mktsegment, least(round_even(100.0 * n / total, 0), 15, n) AS quota FROM n),
-r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer)
-SELECT c_custkey, r.c_mktsegment FROM r JOIN q ON r.c_mktsegment = q.c_mktsegment WHERE r.r <= quota""")
-def stratified_customers(spark, sf_dir):
-    """A capped sample in proportion to strata."""
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    sizes = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    quota = sizes.join(F.broadcast(total)).select("c_mktsegment", F.least(F.bround(100 * F.col("n") / F.col("total")), F.lit(15), F.col("n")).alias("quota"))
-    r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return rows.withColumn("r", r).join(quota, "c_mktsegment").where("r <= quota").select("c_custkey", "c_mktsegment")
-
-
-@query("""
-SELECT l_suppkey, l_returnflag, count(*) AS n, max(l_discount) AS worst, arg_min(l_orderkey * 10 + l_linenumber, (-l_discount, l_orderkey, l_linenumber)) AS representative FROM lineitem GROUP BY 1, 2""")
-def worst_first_roll_up(spark, sf_dir):
-    """Groups with their worst row, the first on ties."""
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag")
-    return rows.agg(F.count("*").alias("n"), F.max("l_discount").alias("worst"), F.min_by(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.struct(-F.col("l_discount"), "l_orderkey", "l_linenumber")).alias("representative"))
-
-
-@query("""
-SELECT c_custkey, TRUE AS buys FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL
-SELECT c_custkey, FALSE FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey)""")
-def buyers(spark, sf_dir):
-    """Semi and anti join."""
-    customers, orders = _table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    parts = [customers.join(orders, "c_custkey", how).withColumn("buys", F.lit(flag)) for how, flag in (("left_semi", True), ("left_anti", False))]
-    return reduce(DataFrame.unionByName, parts)
-
-
-@query("""
-SELECT o_custkey, o_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3""")
-def top_orders(spark, sf_dir):
-    """The first three of each group by a composite key."""
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey"))
-    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", place.alias("place"))
-    return rows.where("place <= 3")
-
-
-def _typed(spark, sf_dir) -> DataFrame:
-    return checks.typed(_extracted(spark, sf_dir))
-
-
-def _sites(pages: DataFrame) -> DataFrame:
-    return archetype.archetypes(pages, pages.select("site", "ord", "url", "page_type"))
-
-
 @query()
 def site_archetypes(spark, sf_dir):
-    return _sites(_typed(spark, sf_dir))
+    return _evidence(spark, sf_dir).sites
 
 
 @query()
 def identity_check_envelopes(spark, sf_dir):
-    pages = _typed(spark, sf_dir)
-    return gated.identity_envelopes(pages, _sites(pages))
+    return audit.ANALYSERS["identity"](_evidence(spark, sf_dir))
 
 
 @query()
 def trade_check_envelopes(spark, sf_dir):
-    pages = _typed(spark, sf_dir)
-    return gated.trade_envelopes(pages, _sites(pages))
+    return audit.ANALYSERS["trade"](_evidence(spark, sf_dir))
 
 
 @query()
@@ -408,16 +444,13 @@ def date_check_envelopes(spark, sf_dir):
 
 @query()
 def render_check_envelopes(spark, sf_dir):
-    home, page, _ = _rendered_envelopes(spark, _typed(spark, sf_dir))
-    return home.unionByName(page)
+    pages, none = _typed(spark, sf_dir), spark.createDataFrame([], rendered.RENDERED)
+    return rendered.home_envelopes(pages, none).unionByName(rendered.page_envelopes(pages, none))
 
 
 @query()
 def site_strengths(spark, sf_dir):
-    """The fixture has neither robots nor sitemaps."""
-    access = spark.createDataFrame([], "site string, agent string, class string, allowed_root boolean")
-    sitemaps = spark.createDataFrame([], "site string, page_type string, lastmod timestamp")
-    return report.strengths(_extracted(spark, sf_dir).where("extraction_ok"), access, sitemaps, F.current_timestamp())
+    return _strengths(spark, _typed(spark, sf_dir))
 
 
 _WORDING = f"""

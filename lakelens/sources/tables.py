@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,33 @@ def raw_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+
+    Only on one machine (a local master) may that setting be missing.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "lakelens-scratch")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/lakelens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet and read again: later readers prune its columns, and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on at least as many tasks as there are cores: files of one row group are dealt out, large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """One JSON document a row."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)

@@ -101,13 +101,36 @@ def test_archetypes(spark):
         ("small", "https://small.com/", "<body>x<a href=/zzz>z</a>"), ("small", "https://small.com/zzz", "<body>y"), ("blocked", "https://blocked.com/", wall),
     ])
     inventory = p.select("site", "ord", "url", "page_type")
-    got = {r.site: (r.archetype, r.confidence) for r in archetype.archetypes(p, inventory).collect()}
+    got = {r.site: (r.archetype, r.confidence) for r in archetype.archetypes(p, inventory, words=False).collect()}
     assert {k: v[0] for k, v in got.items()} == {"shop": "ecommerce", "docs": "documentation", "uni": "institutional", "me": "personal", "small": "brochure", "blocked": "unknown"}
     assert got["docs"][1] == 0.8 and got["small"][1] == 0.6  # 7 points: 0.5 + 0.25 * 7 / 12 + 0.15 = 0.796
     scores = spark.createDataFrame([([(3.0, 0, "a"), (3.0, 1, "b")],), ([(4.0, 0, "a"), (3.0, 1, "b")],), ([(2.0, 0, "a"), (-3.0, 1, "b")],)], "s array<struct<score:double,rank:int,kind:string>>")
     assert [r[0].archetype for r in scores.select(archetype.decide(F.col("s"))).collect()] == ["unknown", "a", "unknown"]
 
 
+def test_vocabulary(spark):
+    """Words alone decide for a shop, not for an institution; a kind needs a core term."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lakelens.operators import archetype, vocabulary
+
+    shop = "add to cart free shipping shop now in stock wish list best sellers " * 3
+    p = pages(spark, [("shop", "https://s.com/aaa", f"<title>Checkout and cart</title><body>{shop}"), ("uni", "https://u.com/aaa", f"<body>{'university admissions campus faculty alumni donate foundation ' * 4}"), ("food", "https://f.com/aaa", f"<body>{'pizza kitchen coffee bakery menu ' * 9}")])
+    paths = spark.createDataFrame([("shop", 1, "/best-sellers/new_arrivals"), ("shop", 900, "/cart")], "site string, r int, path string")
+    maps = spark.createDataFrame([("shop", "https://s.com/product-1.xml"), ("shop", "https://s.com/product-2.xml")], "site string, url string")
+    got = {(r.site, r.kind): r.score for r in vocabulary.scores(p, paths, sitemaps=maps).collect()}
+    texts = {"described": "Checkout and cart ", "visible": " ".join(shop.split()), "paths": " best sellers new arrivals"}
+    want = sum(min(len(re.findall(t, x, re.I)), vocabulary.SOURCES[k][1]) * w * vocabulary.SOURCES[k][0] for k, x in texts.items() for t, w in vocabulary.TERMS["ecommerce"]) + 2 * vocabulary.SITEMAP
+    assert got["shop", "ecommerce"] == round(want, 1) and ("food", "local_business") not in got  # no core term of theirs
+    assert {(r.site, r.kind) for r in vocabulary.leading(vocabulary.scores(p, paths)).collect()} == {("shop", "ecommerce"), ("uni", "institutional")}
+    assert {(r.kind, r.points) for r in vocabulary.sitemap_hints(maps).collect()} == {("ecommerce", 1.0)}
+    inventory = p.select("site", "ord", "url", "page_type")
+    kinds = lambda **k: {r.site: r.archetype for r in archetype.archetypes(p, inventory, **k).collect()}
+    assert kinds(sitemaps=maps)["shop"] == "ecommerce" and kinds()["uni"] != "institutional" and kinds(words=False)["shop"] != "ecommerce"
+
+
 def test_wording_and_contradictions(spark):
     from lakelens.operators import report
 
@@ -120,8 +143,8 @@ def test_wording_and_contradictions(spark):
     assert {tuple(r) for r in told.collect()} == {("s", "prescriptive_wording", "R-002"), ("s", "empty_summary", "R-003"), ("t", "prohibited_wording", "R-001")}
     kept, told = report.drop_contradicted(recs, spark.createDataFrame([("s", "identity_jsonld"), ("s", "feed")], "site string, detector string"))
     assert {(r.site, r.rec_id) for r in kept.collect()} == {("s", "R-002"), ("s", "R-003"), ("t", "R-001")} and [tuple(r) for r in told.collect()] == [("s", "contradicted_by_strength", "R-001")]
-    rolled = spark.createDataFrame([("s", "CHK-D-008", "k", ["u2", "u9"])], "site string, check_id string, defect_key string, instances array<string>")
-    assert {r.url for r in report.uncovered(recs, rolled).collect()} == {"u1", "u3", "u4"}
+    covered = spark.createDataFrame([("s", "CHK-D-008", "k", u) for u in ("u2", "u9")], "site string, check_id string, defect_key string, url string")
+    assert {r.url for r in report.uncovered(recs, covered).collect()} == {"u1", "u3", "u4"}
 
 
 def test_strengths(spark):
@@ -150,11 +173,12 @@ def test_reports_hold_all_checks(spark, tmp_path, monkeypatch):
     body = "word " * 300 + "announced released launched "
     html_of = {"https://a.test/": "<body>x", "https://b.test/": f"<body><h1>Hello</h1>{'<img src=i>' * 4}{body}", "https://b.test/2024/05/01/q": f"<body><h1>News</h1><time datetime=2024-05-01>May</time>{body}", "https://c.test/shop/p": "<body>x"}
     spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html_of.items())], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    envelopes = queries._envelopes(spark, str(tmp_path))
-    monkeypatch.setattr(queries, "_envelopes", lambda *_: envelopes)
+    once = queries._audited(spark, str(tmp_path))
+    monkeypatch.setattr(queries, "_audited", lambda *_: once)
+    monkeypatch.setattr(queries, "_evidence", lambda *_: once[0])
     got = {n: queries.queries()[n](spark, str(tmp_path)).collect() for n in ("envelope_state_counts", "site_findings", "site_recommendations", "summary_by_severity", "checks_passed", "top_priorities", "meta_warnings")}
     has = lambda n: {(r.site, r.check_id[4:]) for r in got[n]}
-    every = {f"CHK-D-{n:03d}" for n in (3, 4, 6, 7, 8, 12, 25, 27, 29, 30, 31, 32, 33, 34)} | {f"CHK-E-{n:03d}" for n in (14, 15, 19, 21, 24)}
+    every = {f"CHK-D-{n:03d}" for n in (3, 4, 6, 7, 8, 9, 12, 13, 25, 26, 27, 29, 30, 31, 32, 33, 34)} | {f"CHK-E-{n:03d}" for n in (14, 15, 19, 21, 24)}
     assert every <= {r.check_id for r in got["envelope_state_counts"]}
     assert ("a.test", "D-003") in has("site_findings") and ("b.test", "D-025") in has("site_findings")
     assert ("b.test", "E-021") in has("site_recommendations") and ("a.test", "E-021") in has("checks_passed") and ("b.test", "D-012") in has("checks_passed")
