@@ -84,14 +84,16 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumns({n: F.xxhash64(F.lit(i), *plain) for i, n in enumerate(names)}), names
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], n: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """rows joined with a table of their keys, whose column n says how many rows a key has.
 
     Keys with more than one in `share` of all rows are fewer than `share`, whatever the data: those
     are broadcast, so no task gets all rows of a hot key. The rest meets in a shuffle. Both tables
     are read twice and should be stored ones; rows without a match or with a null key are left out.
+    total, the sum of n or more, is taken from side where it isn't given.
     """
-    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total is None:
+        total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot, cold = side.where(F.col(n) > total / share), side.where(F.col(n) <= total / share)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
 
@@ -119,8 +121,8 @@ def crc32_of_id(doc_id) -> F.Column:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. A hub's rows
-    are joined, never gathered, so adaptive execution can split them. Loops and nulls are ignored;
+    Alternating large-star and small-star rounds, each written to the shared folder. Rows of a hub
+    learn its least neighbour by broadcast, and are never gathered. Loops and nulls are ignored;
     nodes without an edge don't appear; an empty input gives an empty result.
     """
     spark = edges.sparkSession
@@ -138,10 +140,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        top = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(top, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), least, ["u"], "n", total=2 * before[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        top = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, top, ["hi"], "n", total=2 * before[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = stored(small.unionByName(top.select("hi", F.col("m").alias("lo"))).distinct(), f"{base}/{k}")
         after = mark(now)
         if after == before:

@@ -5,7 +5,8 @@ of tiles is one task's work. A unit vector x is s q + e with q in int8 and |e| k
 |x.y - s s' q.q'| <= |s q| |e'| + |e| |s' q'| + |e| |e'|. Products of the q are exact in float32 (the
 int8 sums stay below 2^24 by cutting the dimensions into runs). Only pairs whose product plus bound
 reaches the threshold are computed again in double precision. Tiles give link counts and a spanning
-forest of their links, never the links themselves.
+forest of their links, never the links themselves. Rows of a vector that very many share learn its
+verdict by broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scratch, share_code, stored
+from .common import components, scratch, share_code, spread_join, stored
 
 TILE = 2048
 RUN = 1024  # 1024 * 127^2 < 2^24
@@ -110,8 +111,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col="vec_id"
         return pd.DataFrame({"rep": rep[some], "links": links[some], "to": rep[top[some]]})
 
     found = stored(dealt.groupBy("label", "d", "a", "b").applyInPandas(tiles, "rep long, links long, to long"), f"{path}/links")
-    ids = good.join(copies.select("label", "hash", "x", "rep", "n"), ["label", "hash", "x"])
-    ids = ids.select("vec_id", "hash", "rep", "n")
+    ids = spread_join(good, copies, ["label", "hash", "x"], "n").select("vec_id", "rep", "n")
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     out = ids.join(sums, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")

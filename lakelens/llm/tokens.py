@@ -178,7 +178,8 @@ def batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int,
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit); one row for each input row.
 
-    Null texts count as empty: no bytes, no tokens. Ids are carried as they are, null or repeated.
+    Null texts count as empty: no bytes, no tokens. Long texts are counted whole, split at safe places
+    where there are any. Ids are carried as they are, null or repeated; repeated rows are counted each.
     Other columns are not read, so their names don't matter. An empty table gives an empty one.
     Only lengths leave the Arrow function; no data is shuffled.
     """
