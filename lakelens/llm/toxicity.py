@@ -14,6 +14,7 @@ the terms of such pairs and all those that tell the label alone. It has at most
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,9 +88,9 @@ def _descent(rows: list[np.ndarray], y: np.ndarray, slot: np.ndarray, n_terms: i
     shuffled, batches = rng.permutation(n), []
     for lo in range(0, n, batch):
         at = shuffled[lo : lo + batch]
-        flat, owner = slot[np.concatenate([rows[i] for i in at])], np.repeat(np.arange(len(at)), [len(rows[i]) for i in at])
+        flat, owner = slot[np.concatenate([rows[i] for i in at])], np.repeat(np.arange(len(at), dtype=np.int32), [len(rows[i]) for i in at])
         terms, local = np.unique(flat[flat >= 0], return_inverse=True)
-        batches.append((y[at], terms, local, owner[flat >= 0]))
+        batches.append((y[at], terms, local.astype(np.int32), owner[flat >= 0]))
     for _ in range(rounds):
         for b in rng.permutation(len(batches)).tolist():
             want, terms, local, owner = batches[b]
@@ -121,25 +122,32 @@ def told_terms(rows: list[np.ndarray], y: np.ndarray, bits: int, weight: np.ndar
     """Terms tied to the label alone, and terms of pairs of which one is tied to it among the rows
     that have the other. Pairs are made of the `tested` terms of most weight. Rows that agree in
     everything count once here."""
-    first = list({(r.tobytes(), float(l)): i for i, (r, l) in enumerate(zip(rows, y, strict=True))}.values())
+    first = list({(zlib.crc32(r), len(r), int(r.sum()), float(l)): i for i, (r, l) in enumerate(zip(rows, y, strict=True))}.values())
     rows, y = [rows[i] for i in first], y[first]
-    n, flat, owner = len(y), np.concatenate(rows), np.repeat(np.arange(len(y)), [len(r) for r in rows])
-    df, hit = np.bincount(flat, minlength=1 << bits).astype(float), np.bincount(flat, weights=y[owner], minlength=1 << bits)
+    n, size = len(y), np.array([len(r) for r in rows])
+    flat, ends = np.concatenate(rows), np.concatenate(([0], np.cumsum(size)))
+    df = np.bincount(flat, minlength=1 << bits).astype(float)
+    hit = np.bincount(np.concatenate([r for r, l in zip(rows, y, strict=True) if l > 0]), minlength=1 << bits).astype(float)
     alone = _tied(hit, df, np.float64(y.mean()), np.float64(n)) >= least
     some = np.sort(np.argsort(-weight * np.sqrt(df), kind="stable")[:tested])
     some = some[(df[some] >= 5) & (weight[some] > 0)]
     at = np.full(1 << bits, -1, dtype=np.int32)
     at[some] = np.arange(len(some))
     both, positive = np.zeros((len(some), len(some)), dtype=np.float32), np.zeros((len(some), len(some)), dtype=np.float32)
-    for lo in range(0, n, 2048):  # a dense piece of the rows at a time
-        part = (owner >= lo) & (owner < lo + 2048) & (at[flat] >= 0)
-        x = np.zeros((min(2048, n - lo), len(some)), dtype=np.float32)
-        x[owner[part] - lo, at[flat[part]]] = 1
+    for lo in range(0, n, 1024):  # a dense piece of the rows at a time
+        hi = min(lo + 1024, n)
+        column, owner = at[flat[ends[lo] : ends[hi]]], np.repeat(np.arange(hi - lo, dtype=np.int32), size[lo:hi])
+        x = np.zeros((hi - lo, len(some)), dtype=np.float32)
+        x[owner[column >= 0], column[column >= 0]] = 1
         both += x.T @ x
-        positive += x.T @ (x * y[lo : lo + 2048, None].astype(np.float32))
-    among = df[some][:, None]
-    pair = _tied(positive.astype(float), both.astype(float), hit[some][:, None] / among, among) >= least_pair
-    paired = some[pair.any(axis=0) | pair.any(axis=1)]
+        positive += x[y[lo:hi] > 0].T @ x[y[lo:hi] > 0]
+    told = np.zeros(len(some), dtype=bool)
+    for lo in range(0, len(some), 128):  # and of the pairs
+        among = df[some[lo : lo + 128]][:, None]
+        pair = _tied(positive[lo : lo + 128].astype(float), both[lo : lo + 128].astype(float), hit[some[lo : lo + 128]][:, None] / among, among) >= least_pair
+        told |= pair.any(axis=0)
+        told[lo : lo + 128] |= pair.any(axis=1)
+    paired = some[told]
     return np.union1d(np.flatnonzero(alone), paired)
 
 
@@ -153,27 +161,29 @@ def fit(
     none = FactorizationMachine(bits, float(np.log(max(share, 1e-4) / max(1 - share, 1e-4))), slot, np.zeros(0), np.zeros((0, factors)))
     if n == 0 or share in (0.0, 1.0):
         return none
+    if not any(len(r) for r in rows):
+        return none
     every = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=1 << bits) >= rare)
     slot[every] = np.arange(len(every))
     _, w, v = _descent(rows, y, slot, len(every), factors, 8, rate, 30 * decay, batch, seed)
     weight = np.zeros(1 << bits)
     weight[every] = np.abs(w) + np.sqrt((v * v).sum(axis=1))
     picked = told_terms(rows, y, bits, weight, least, least_pair, tested)
+    slot[:] = -1
     if not len(picked):
         return none
-    slot[:] = -1
     slot[picked] = np.arange(len(picked))
     bias, w, v = _descent(rows, y, slot, len(picked), factors, rounds, rate, decay, batch, seed)
     return FactorizationMachine(bits, bias, slot, w, v)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 15_000, most_bytes: int = 64 << 20, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic"):
-    """Hashed terms and labels of a sample of labelled documents outside the held-out fold.
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = 15_000, most_bytes: int = 64 << 20, bits: int = 18, folds: int = 5, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
+    """doc_id, y, terms (hashed, as bytes): a sample of labelled documents outside the held-out fold.
 
     Held out are ids whose crc32 as text is 0 mod folds. Rows with a null id or label are left out;
     several labels of an id count as their largest; documents of one id count each, equal ones once.
     The sample has about `most` rows and `most_bytes` bytes of terms at most: above either, the rows of
-    least hash are taken. Only this sample reaches the driver.
+    least hash are taken.
     """
     spark = docs.sparkSession
     share_code(spark)
@@ -197,12 +207,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 15_000, most_b
     part = min(1.0, most / max(n, 1), most_bytes / max(size, 1))
     if part < 1:
         found = found.where(F.pmod(F.xxhash64("terms", "doc_id"), F.lit(1 << 40)) < int((1 << 40) * part))
-    got = sorted(found.collect())
-    return [np.frombuffer(r["terms"], dtype=np.int32) for r in got], np.array([r["y"] > 0 for r in got], dtype=np.int8)
+    return found
+
+
+def _unpacked(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashed terms and labels of (doc_id, y, terms), in the order of the rows' values."""
+    rows = sorted(rows)
+    return [np.frombuffer(r[2], dtype=np.int32) for r in rows], np.array([r[1] > 0 for r in rows], dtype=np.int8)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, **options) -> tuple[list[np.ndarray], np.ndarray]:
+    """The training sample itself, at the driver."""
+    return _unpacked(training_sample(docs, labels, **options).collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 15_000, bits: int = 18, **options) -> FactorizationMachine:
-    return fit(*training_rows(docs, labels, most, bits=bits), bits=bits, **options)
+    """A machine fitted to the training sample, in one task, as the sample is bounded; only the machine reaches the driver."""
+    sample = training_sample(docs, labels, most, bits=bits)
+
+    def fitted(group: pa.Table) -> pa.Table:
+        m = fit(*_unpacked(list(zip(*(group.column(c).to_pylist() for c in ("doc_id", "y", "terms")), strict=True))), bits=bits, **options)
+        return pa.table([pa.array([pickle.dumps(m)], pa.binary())], names=["machine"])
+
+    made = sample.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "machine binary").first()
+    return pickle.loads(made[0]) if made else fit([], np.zeros(0), bits=bits, **options)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:

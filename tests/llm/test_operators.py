@@ -199,6 +199,13 @@ def test_toxicity_learns_pairs_of_neutral_terms():
     assert np.mean((m.scores(rows[2400:]) >= 0.5) == y[2400:]) > 0.95
 
 
+def test_toxicity_without_telling_terms():
+    """Labels that no term tells: the score is the share of label 1, whatever the text."""
+    rows = [toxicity.hashed_terms(x, 18) for x in ["same words here"] * 40]
+    m = toxicity.fit(rows, np.array([1] * 10 + [0] * 30))
+    assert np.allclose(m.scores(rows + [toxicity.hashed_terms("", 18)]), 0.25)
+
+
 def test_factorization_sums_pairs():
     rng = np.random.default_rng(3)
     slot = np.full(1 << 10, -1, dtype=np.int32)
