@@ -108,6 +108,33 @@ def test_archetypes(spark):
     assert [r[0].archetype for r in scores.select(archetype.decide(F.col("s"))).collect()] == ["unknown", "a", "unknown"]
 
 
+def test_vocabulary_searches_a_text_only_for_terms_of_its_words(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lakelens.operators import vocabulary
+
+    draw, seen, words = random.Random(7), set(), re.compile("[a-z]+")
+    for i in range(12_000):  # words of a pattern in its order, mostly, glued in several ways
+        parts = [w for w in words.findall(vocabulary._PATTERNS[i % len(vocabulary._PATTERNS)].replace(r"\b", " ").replace(r"\d", "7")) if draw.random() < 0.4]
+        t = "7 " * draw.randint(0, 1) + draw.choice([" ", "", "-", " x "]).join(w.upper() if draw.random() < 0.2 else w for w in parts) + draw.choice(["", "s", "İ"])
+        allowed = set().union(*map(vocabulary._allowed_by, words.findall(t.lower())))
+        hits = {k for k, p in enumerate(vocabulary._PATTERNS) if re.search(p, t, re.I | re.A)}
+        assert hits <= allowed, t
+        seen |= hits
+    assert len(seen) > 0.9 * len(vocabulary._PATTERNS)
+    texts = spark.createDataFrame([("a", "raw", "Add to cart, add-to-bag. ADDTOCART " * 3), ("a", "raw", "ouleou des " * 50), ("b", "raw", "cartons")], "site string, source string, t string")
+    found = vocabulary._counted(texts)
+    name = F.get(F.array(*map(F.lit, vocabulary._PATTERNS)), F.col("i"))
+    got = {(r.site, r.p): r.n for r in found.where(F.col("i") < len(vocabulary._RULES)).select("site", name.alias("p"), "n").collect()}
+    assert got == {("a", r"add[ -]to[ -](cart|bag|basket)|addtocart"): 9, ("a", r"\bcart\b|\bbasket\b"): 3}
+    p, paths = pages(spark, [("a", "https://a/", "<p>Add to cart")]), spark.createDataFrame([("a", 1, "/")], "site string, r int, path string")
+    plan = vocabulary.scores(p, paths)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("regexp_extract_all") == 1  # before, each text was searched for each term in several copies of the plan
+
+
 def test_vocabulary(spark):
     """Words alone decide for a shop, not for an institution; a kind needs a core term."""
     import re
