@@ -32,6 +32,16 @@ def trigrams(text: Column) -> Column:
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
+def trigram_keys(text: Column) -> Column:
+    """trigrams() by 64-bit hashes, without making their texts."""
+
+    def of(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.array_distinct(each))
+
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
+
+
 def trigram_hash(text: Column) -> Column:
     """sha256: and the digest of the sorted trigrams; below three words that of an empty text."""
     return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(trigrams(text)), "\n").cast("binary"), 256))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..sources.tables import stored
 
 # --- fixed values -------------------------------------------------------------------------------
 VAGUE_LINKS = ("click here", "here", "read more", "more", "learn more", "this link", "details", "info", "click", "tap", "view", "see")
@@ -190,7 +191,7 @@ def duplicate_envelopes(pages: DataFrame, threshold: float = 0.8) -> DataFrame:
     eligible = _comparable(pages)
     sizes = pages.select("site").distinct().join(eligible.groupBy("site").agg(F.count("*").alias("n")), "site", "left")
     heavy = eligible.where("js_payload_heavy").select("site", "url").distinct()
-    pairs = near_duplicate_pages(pages, threshold)
+    pairs = stored(near_duplicate_pages(pages, threshold))
     for side in ("url_a", "url_b"):
         pairs = pairs.join(heavy.select("site", F.col("url").alias(side), F.lit(True).alias(f"heavy_{side}")), ["site", side], "left")
     script = F.coalesce("heavy_url_a", "heavy_url_b", F.lit(False))
@@ -221,20 +222,26 @@ def near_duplicate_pages(pages: DataFrame, threshold: float = 0.8) -> DataFrame:
     threshold must share, so common phrases don't pair all pages. Empty sets, legal pages and pages
     that scripts seem to fill don't take part. Every pair above the threshold is found.
     """
-    eligible = _comparable(pages).select("site", "ord", "url", F.transform(text.trigrams(F.col("main_text")), lambda t: F.xxhash64(t)).alias("t"))
-    eligible = eligible.where(F.size("t") > 0).withColumn("n", F.size("t"))
-    posted = eligible.select("site", "ord", "n", F.explode("t").alias("g"))
-    seen = posted.groupBy("site", "g").agg(F.count("*").alias("m"))
-    rank = F.row_number().over(Window.partitionBy("site", "ord").orderBy("m", "g"))
-    prefix = posted.join(seen, ["site", "g"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("m > 1").select("site", "ord", "n", "g")
+    c = F.col
+    eligible = _comparable(pages).select("site", "ord", "url", F.xxhash64("site", "ord").alias("p"), "main_text")
+    sets = eligible.select("site", "ord", "p", text.trigram_keys(c("main_text")).alias("t")).where(F.size("t") > 0)
+    # From here to the pairs a row is a few numbers: g is a trigram of one site, m in how many of its pages it is.
+    posted = sets.select("p", "ord", F.size("t").alias("n"), F.explode(F.transform("t", lambda t: F.xxhash64("site", t))).alias("g"))
+    shared = posted.withColumn("m", F.count("*").over(Window.partitionBy("g"))).where("m > 1")
+    # Trigrams of one page alone come first in its prefix, so what the prefix leaves over them is for shared ones.
+    page = shared.groupBy("p", "ord", "n").agg(F.array_sort(F.collect_list(F.struct("m", "g"))).alias("s"))
+    left_over = F.greatest(F.lit(0), F.size("s") - F.ceil(c("n") * threshold).cast("int") + 1)
+    prefix = page.select("p", "ord", "n", F.explode(F.slice("s", F.lit(1), left_over)).alias("s")).select("p", "ord", "n", "s.g")
     a, b = prefix.alias("a"), prefix.alias("b")
-    size = (F.col("a.n") > threshold * F.col("b.n")) & (F.col("b.n") > threshold * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.ord") < F.col("b.ord")) & size)
-    pairs = pairs.select(F.col("a.site").alias("site"), F.col("a.ord").alias("x"), F.col("b.ord").alias("y")).distinct()
-    left = eligible.select("site", F.col("ord").alias("x"), F.col("url").alias("url_a"), F.col("t").alias("ta"))
-    right = eligible.select("site", F.col("ord").alias("y"), F.col("url").alias("url_b"), F.col("t").alias("tb"))
-    both = pairs.join(left, ["site", "x"]).join(right, ["site", "y"]).withColumn("similarity", text.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") > threshold)
-    return both.select("site", "url_a", "url_b", "similarity", urls.variant_kind(F.col("url_a"), F.col("url_b")).alias("variant"))
+    size = (c("a.n") > threshold * c("b.n")) & (c("b.n") > threshold * c("a.n"))
+    pairs = a.join(b, (c("a.g") == c("b.g")) & (c("a.ord") < c("b.ord")) & size).select(c("a.p").alias("x"), c("b.p").alias("y")).distinct()
+    pairs = stored(pairs)
+    met = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct()
+    met = eligible.join(met, "p", "left_semi").select("p", "site", "url", text.trigram_keys(c("main_text")).alias("t"))
+    left = met.select(c("p").alias("x"), "site", c("url").alias("url_a"), c("t").alias("ta"))
+    right = met.select(c("p").alias("y"), c("site").alias("site_b"), c("url").alias("url_b"), c("t").alias("tb"))
+    both = pairs.join(left, "x").join(right, "y").where("site = site_b").withColumn("similarity", text.jaccard(c("ta"), c("tb"))).where(c("similarity") > threshold)
+    return both.select("site", "url_a", "url_b", "similarity", urls.variant_kind(c("url_a"), c("url_b")).alias("variant"))
 
 
 def identity_pages(pages: DataFrame) -> DataFrame:

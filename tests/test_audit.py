@@ -186,6 +186,30 @@ def test_near_duplicate_pages(spark):
     assert got == expected and expected
 
 
+def test_near_duplicates_are_found_once_from_numbers(spark):
+    """Candidates are stored, and only their pages are compared; texts of trigrams meet in no join."""
+    p = pages(spark, [("s", f"https://s.test/page{i}", f"<body><main>{'one two three four ' * 20} {k}</main>") for i, k in enumerate("aab")] + [("t", "https://t.test/x", "<body>one two three four")])
+    found = checks.near_duplicate_pages(p)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "Window" not in plan
+    assert [(r.url_a[-1], r.url_b[-1], r.similarity) for r in found.orderBy("url_a", "url_b").collect()] == [("0", "1", 1.0)]
+    three = checks.text.trigram_keys(checks.F.col("main_text"))
+    assert {r.site: r.n for r in p.select("site", checks.F.size(three).alias("n")).where("page_id in (0, 3)").collect()} == {"s": 5, "t": 2}
+
+
+def test_extractor_holds_few_pages_at_a_time(spark, monkeypatch):
+    """Every page of a batch that is cut comes out, and searches that are left out find nothing."""
+    from lakelens.operators import html
+
+    page = "<body>{}<footer>x</footer>"
+    found = lambda t: {k: v for k, v in html.extract(0, "s", 0, "https://s.test/", page.format(t)).items() if k in ("email", "phone", "shop_html")}
+    assert found("call 030 1234567 or a@b.io") == {"email": True, "phone": "030 1234567", "shop_html": False}
+    assert found("12 34 and @") == {"email": False, "phone": None, "shop_html": False}
+    assert [found(t)["shop_html"] for t in ("Add-To-Cart", "ſhopıfy.theme", "a cart")] == [True, True, False]
+    rows = [("s", f"https://s.test/{i}", "<body>x") for i in range(2 * html.AT_ONCE + 50)]
+    assert sorted(r.page_id for r in pages(spark, rows).select("page_id").collect()) == list(range(len(rows)))
+
+
 def test_identity_pages(spark):
     rows = [("h", "https://h.test/", '<body><a href="/about/">a</a>'), ("h", "https://h.test/about", "<body>x"), ("h", "https://h.test/contact", "<body>x")]
     assert {r.url for r in checks.identity_pages(pages(spark, rows)).collect()} == {"https://h.test/", "https://h.test/about"}
